@@ -1,0 +1,4 @@
+"""Queries of the engine's own operators."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
