@@ -128,7 +128,7 @@ class PairIndexEncoder:
         return np.array(flat, dtype=np.int32), offsets
 
 
-def _pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most_bytes`` of text, at least one row each."""
     size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
     lo = 0
@@ -151,7 +151,7 @@ def encoded(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) ->
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PairIndexEncoder(merges)
         for whole in batches:
-            for batch in _pieces(whole, "text"):
+            for batch in pieces(whole, "text"):
                 ids, offsets = encoder.encode(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=[key, "ids"])
 

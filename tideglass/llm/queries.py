@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tideglass.functions.events import DAY_MS, floor_to, timed_records
 from tideglass.llm.bpe import encoded
 from tideglass.llm.log_sketch import LogBuckets
+from tideglass.llm.mixing import mixed, shares
 from tideglass.llm.nearest_time import nearest_in_time
+from tideglass.llm.subjects import subjects_of, train
 from tideglass.sources.tables import table
 
 TOLERANCE_MS = 15_000
@@ -60,7 +62,33 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p6_percentiles, p6_daily_sketches, p8_ids)}
+def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and copies with which each source has its target share of all tokens."""
+    return mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return shares(p9_selection(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    names = sorted(r.subject for r in table(spark, folder, "subjects").select("subject").distinct().collect())
+    return subjects_of(documents, train(documents, table(spark, folder, "subject_labels"), names))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects of each document."""
+    return _subjects(spark, folder).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and mean share of sentences per subject."""
+    return _subjects(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("share"), 6).alias("mean_share"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p6_percentiles, p6_daily_sketches, p8_ids, p9_selection, p9_shares, p10_found, p10_composition)}
 
 _BIDS = """SELECT tick_id, any_value(symbol) AS symbol, CASE WHEN any_value(ts) <> 0 THEN any_value(ts)
   ELSE CAST(floor(min(recv_ts) * 1000) AS BIGINT) END AS bt FROM tickers WHERE bid1_price IS NOT NULL GROUP BY tick_id"""
