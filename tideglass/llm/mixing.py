@@ -126,8 +126,9 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None =
     then stand at their cap.
 
     Rates become whole copies: every document gets the whole part, and of the documents of a source
-    those that come first in hash order get one more until the source's tokens are met (to within
-    a 4096th of the source or one document). ``reached_share`` counts the copies chosen, by named
+    as many, in hash order, get one more as still fit into the source's tokens (and again while the cap allows it and
+    tokens are left, as where one long document fits nowhere; within a 4096th of the source). The table of such slots that is broadcast has
+    at most 4096 rows per source. ``reached_share`` counts the copies chosen, by named
     or most likely source.
 
     Records of sources without a target, and null, empty texts, are not used. Sources are not
@@ -202,18 +203,28 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None =
     rated = members.mapInArrow(choose, f"doc_id {kind}, source string, source_is_predicted boolean, tokens long, rate double")
     rated = rated.withColumn("_slot", F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(SLOTS)).cast("int")).withColumn("_part", F.col("rate") - F.floor("rate"))
     slots = rated.groupBy("source", "_slot").agg(F.sum(F.col("_part") * F.col("tokens")).alias("due"), F.sum(F.when(F.col("_part") > 0, F.col("tokens"))).alias("have")).collect()
-    last = {}
-    for s in sources:
-        own = sorted((r for r in slots if r.source == s), key=lambda r: r["_slot"])
-        due, taken, last[s] = sum(r.due for r in own), 0.0, -1
-        for r in own:
-            have = float(r.have or 0)
-            if due - taken < have / 2 or due <= taken:
-                break
-            taken, last[s] = taken + have, r["_slot"]
-    upto = F.create_map(*[x for s in sources for x in (F.lit(s), F.lit(last[s]))])
-    more = F.when((F.col("_part") > 0) & (F.col("_slot") <= upto[F.col("source")]), 1).otherwise(0)
-    chosen = rated.withColumn("copies", (F.floor("rate") + more).cast("int")).where("copies > 0")
+    base = np.floor(rates.of(np.eye(len(sources)), caps))
+    taken: dict[tuple[str, int], int] = {}
+    for s, cap, whole_part in zip(sources, caps, base, strict=True):
+        own = sorted((r for r in slots if r.source == s and r.have), key=lambda r: r["_slot"])
+        left = sum(r.due for r in own)
+        for copy in range(1, max(int(cap - whole_part), 1) + 1):
+            rest = []
+            for r in own:
+                if r.have <= left:
+                    left -= r.have
+                    taken[s, r["_slot"]] = copy
+                else:
+                    rest.append(r)
+            if copy == 1:
+                closest = min(rest, key=lambda r: r.have, default=None)
+                if closest is not None and closest.have - left < left:
+                    left -= closest.have
+                    taken[s, closest["_slot"]] = 1
+    extra = F.broadcast(spark.createDataFrame([(s, k, n) for (s, k), n in taken.items()], "source string, _slot int, _more int"))
+    more = F.when(F.col("_part") > 0, F.coalesce("_more", F.lit(0))).otherwise(0)
+    more = F.when(F.col("source_is_predicted"), F.least(more, F.lit(1))).otherwise(more)
+    chosen = rated.join(extra, ["source", "_slot"], "left").withColumn("copies", (F.floor("rate") + more).cast("int")).where("copies > 0")
     reached = {r.source: r.tokens for r in chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens")).collect()}
     whole = sum(reached.values()) or 1
     shares = F.create_map(*[x for s in sources for x in (F.lit(s), F.lit(reached.get(s, 0) / whole))])

@@ -73,7 +73,9 @@ def nearest_in_time(
         .withColumn("_block", block(F.col("_t")))
         .repartition("_entity", "_block")
         .groupBy("_entity", "_block", "_t", "_l")
-        .agg(F.first(F.lit(None).cast("struct<d:bigint,t:bigint,r:bigint>")).alias("_best"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_best", F.lit(None).cast("struct<d:bigint,t:bigint,r:bigint>"))
+        .drop("_n")
     )
     for width in ring_widths(fine_ms, tolerance_ms):
         rows = rows.withColumn("_cell", F.when(F.col("_best").isNull(), F.floor(F.col("_t") / width)))

@@ -52,9 +52,11 @@ def p6_daily_sketches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of price and volume per symbol, from the joined sketches of the days."""
-    out = BUCKETS.percentiles(p6_daily_sketches(spark, folder), ["symbol"], PERCENTILES)
-    return out.select("symbol", "field", "n", *[F.round(p, 6).alias(p) for p in PERCENTILES], "rel_error")
+    """Percentiles of price and volume per symbol: of each UTC day, and of the whole (``day_ms`` null) from the joined sketches of the days."""
+    days = p6_daily_sketches(spark, folder)
+    whole = BUCKETS.percentiles(days, ["symbol"], PERCENTILES).withColumn("day_ms", F.lit(None).cast("long"))
+    out = BUCKETS.percentiles(days, ["symbol", "day_ms"], PERCENTILES).unionByName(whole)
+    return out.select("symbol", "day_ms", "field", "n", *[F.round(p, 6).alias(p) for p in PERCENTILES], "rel_error")
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,10 +109,11 @@ ORACLE = {
     "p3_pairs": _PAIRS,
     "p3_found": f"SELECT tick_id, trade_id FROM ({_PAIRS}) p",
     "p6_daily_sketches": f"{_FILLS} {_SKETCH}",
-    "p6_percentiles": f"""{_FILLS}, s AS ({_SKETCH}), m AS (SELECT symbol, field, sign, bucket, sum(n) AS n FROM s GROUP BY symbol, field, sign, bucket),
-  r AS (SELECT *, sum(n) OVER (PARTITION BY symbol, field ORDER BY sign, sign * bucket) AS upto, sum(n) OVER (PARTITION BY symbol, field) AS total,
+    "p6_percentiles": f"""{_FILLS}, s AS ({_SKETCH}),
+  m AS (SELECT symbol, CAST(NULL AS BIGINT) AS day_ms, 1 AS whole, field, sign, bucket, sum(n) AS n FROM s GROUP BY symbol, field, sign, bucket UNION ALL SELECT symbol, day_ms, 0, field, sign, bucket, n FROM s),
+  r AS (SELECT *, sum(n) OVER (PARTITION BY symbol, day_ms, whole, field ORDER BY sign, sign * bucket) AS upto, sum(n) OVER (PARTITION BY symbol, day_ms, whole, field) AS total,
     sign * pow({BUCKETS.gamma!r}, bucket) * {2 / (BUCKETS.gamma + 1)!r} AS value FROM m)
-  SELECT symbol, field, CAST(max(total) AS BIGINT) AS n,
+  SELECT symbol, day_ms, field, CAST(max(total) AS BIGINT) AS n,
     {", ".join(f"round(arg_min(value, upto) FILTER (upto >= ceil(total * CAST({p} AS DOUBLE))), 6) AS {name}" for name, p in PERCENTILES.items())},
-    CAST({BUCKETS.error} AS DOUBLE) AS rel_error FROM r GROUP BY symbol, field""",
+    CAST({BUCKETS.error} AS DOUBLE) AS rel_error FROM r GROUP BY symbol, day_ms, whole, field""",
 }
