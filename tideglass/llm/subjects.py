@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -191,7 +192,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], most: in
     """Fit the model on the labelled documents; None where there are none.
 
     The labelled texts are turned into arrays once, in ``parts`` partitions, and written to the
-    shared folder. Each step sends the model (a fixed 4 MB) to the partitions, each gives the
+    shared folder. Each step puts the model (a fixed 4 MB) there, each partition gives the
     gradient of its texts, the gradients are summed and one Adam step is taken: the same as one
     step over all labelled texts at once. What comes back per step is bounded by parts times model
     size, whatever the number of texts.
@@ -211,15 +212,18 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], most: in
             yield pa.RecordBatch.from_arrays([pa.array([pickled((vars(Prepared(texts, BUCKETS)), np.array(marks, dtype=np.float32)))], pa.binary())], names=["arrays"])
 
     sample = _labelled(documents, labels, most).repartition(parts, "doc_id").select("text", "subjects")
-    ready = written(sample.mapInArrow(prepare, "arrays binary"), shared_folder(spark))
+    folder = shared_folder(spark)
+    ready = written(sample.mapInArrow(prepare, "arrays binary"), f"{folder}/texts")
     if ready.isEmpty():
         return None
     model = Model(subjects, BUCKETS, WIDTH)
     adam = Adam(model.values)
     for k in range(steps):
         values = model.values
+        current = SharedFile(folder, f"model-{k}").write(values)
 
-        def work(batches: Iterator[pa.RecordBatch], values=values) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
+            values = current.read()
             for b in batches:
                 for blob in b.column("arrays").to_pylist():
                     arrays, marks = unpickled(blob)
@@ -237,9 +241,40 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], most: in
                 else:
                     total[name] += g.astype(np.float32)
         adam.step(model.values, total, 1.0 if k < 0.6 * steps else 0.3)
+        current.delete()
     return model
 
 
+class SharedFile:
+    """Bytes in the shared folder that the driver writes and every task can read.
+
+    For what changes with each step: as part of a task it would stay in every executor's block
+    store and temporary files until garbage collection.
+    """
+
+    def __init__(self, folder: str, name: str):
+        self.uri = f"{folder}/{name}"
+
+    def _place(self):
+        return pa.fs.FileSystem.from_uri(self.uri)
+
+    def write(self, x: object) -> SharedFile:
+        system, path = self._place()
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(path) as f:
+            f.write(pickled(x))
+        return self
+
+    def read(self) -> object:
+        system, path = self._place()
+        with system.open_input_stream(path) as f:
+            return unpickled(f.read())
+
+    def delete(self) -> None:
+        system, path = self._place()
+        system.delete_file(path)
+
+
 def pickled(x: object) -> bytes:
     return pickle.dumps(x, protocol=5)
 
@@ -258,9 +293,11 @@ def subjects_of(documents: DataFrame, model: Model | None) -> DataFrame:
     schema = f"doc_id {kind}, subject string, share double"
     if model is None:
         return documents.sparkSession.createDataFrame([], schema)
-    values, names, buckets = model.values, model.subjects, model.buckets
+    names, buckets = model.subjects, model.buckets
+    final = SharedFile(shared_folder(documents.sparkSession), "model").write(model.values)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = final.read()
         memory: dict[str, list[int]] = {}
         for whole in batches:
             for batch in pieces(whole, "text", 1_000_000):
