@@ -234,7 +234,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], most: in
                     yield pa.RecordBatch.from_arrays([pa.array([pickled(grads)], pa.binary())], names=["grads"])
 
         total = {name: np.zeros_like(v) for name, v in values.items()}
-        for row in ready.mapInArrow(work, "grads binary").toLocalIterator():
+        for row in ready.mapInArrow(work, "grads binary").collect():
             for name, g in unpickled(row.grads).items():
                 if name == "embed":
                     total[name][g[0]] += g[1]
