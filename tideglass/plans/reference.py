@@ -1,4 +1,4 @@
 """Queries of the engine's own operators, from all modules that register some."""
 
-from tideglass.plans import events_queries, market_queries, panel_queries, stats_queries  # noqa: F401
+from tideglass.plans import events_queries, kernel_queries, market_queries, panel_queries, stats_queries  # noqa: F401
 from tideglass.plans.registry import ORACLE, QUERIES  # noqa: F401
