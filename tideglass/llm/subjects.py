@@ -24,7 +24,7 @@ SIGNS_OF_DAMAGE = regex.compile(r"[ÃÂâåæçèéäãï][\u0080-ÿ€‚ƒ„
 REMEMBERED = 200_000
 #: Labelled texts that training uses at most, spread evenly over all of them.
 MOST_LABELLED = 12_000
-PARTS, STEPS, BUCKETS, WIDTH = 8, 45, 1 << 16, 16
+PARTS, STEPS, FIRST, BUCKETS, WIDTH = 8, 45, 20, 1 << 16, 16
 
 
 def repaired(text: str) -> str:
@@ -83,7 +83,7 @@ class Model:
             "out": (rng.standard_normal((width, k)) * 4).astype(np.float32),
             "bias": np.full(k, -2.0, dtype=np.float32),
             "steep": np.full(k, 16.0, dtype=np.float32),
-            "share": np.full(k, 0.14, dtype=np.float32),
+            "share": np.full(k, 0.2, dtype=np.float32),
         }
 
 
@@ -139,15 +139,18 @@ class Prepared:
         share = np.stack([np.bincount(self.owner, weights=p[:, j], minlength=self.texts) for j in range(p.shape[1])], axis=1) / self.parts[:, None]
         return words, sent, p, share
 
-    def gradient(self, v: dict[str, np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradient of the summed cross-entropy of these texts."""
+    def gradient(self, v: dict[str, np.ndarray], labels: np.ndarray, inherit: bool = False) -> dict[str, np.ndarray]:
+        """Gradient of the summed cross-entropy of these texts; with ``inherit`` that of their sentences, each under its text's labels."""
         words, sent, p, share = self.forward(v)
-        away = share - v["share"]
-        q = _sigmoid(v["steep"] * away)
-        g = q - labels
-        grads = {"steep": (g * away).sum(0), "share": -(g * v["steep"]).sum(0)}
-        dp = (g * v["steep"] / self.parts[:, None])[self.owner]
-        dz = (dp * p * (1 - p)).astype(np.float32)
+        if inherit:
+            grads = {}
+            dz = ((p - labels[self.owner]) / self.parts[self.owner][:, None]).astype(np.float32)
+        else:
+            away = share - v["share"]
+            g = _sigmoid(v["steep"] * away) - labels
+            grads = {"steep": (g * away).sum(0), "share": -(g * v["steep"]).sum(0)}
+            dp = (g * v["steep"] / self.parts[:, None])[self.owner]
+            dz = (dp * p * (1 - p)).astype(np.float32)
         grads |= {"out": sent.T @ dz, "bias": dz.sum(0)}
         dsent = dz @ v["out"].T / self.size[:, None]
         dword = _scatter(np.repeat(dsent, self.size, axis=0), self.occ, len(self.word_count)) / self.word_count[:, None]
@@ -155,7 +158,7 @@ class Prepared:
         return grads
 
 
-RATES = {"embed": 0.1, "out": 0.05, "bias": 0.03, "steep": 0.05, "share": 0.002}
+RATES = {"embed": 0.1, "out": 0.05, "bias": 0.03, "steep": 0.05, "share": 0.005}
 
 
 class Adam:
@@ -192,7 +195,9 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], most: in
     """Fit the model on the labelled documents; None where there are none.
 
     The labelled texts are turned into arrays once, in ``parts`` partitions, and written to the
-    shared folder. Each step puts the model (a fixed 4 MB) there, each partition gives the
+    shared folder. In the first ``FIRST`` steps each sentence counts under its text's labels, which
+    finds the words of each subject; from then on a text counts by the share of its sentences. Each
+    step puts the model (a fixed 4 MB) there, each partition gives the
     gradient of its texts, the gradients are summed and one Adam step is taken: the same as one
     step over all labelled texts at once. What comes back per step is bounded by parts times model
     size, whatever the number of texts.
@@ -222,13 +227,13 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], most: in
         values = model.values
         current = SharedFile(folder, f"model-{k}").write(values)
 
-        def work(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], current=current, inherit=k < FIRST) -> Iterator[pa.RecordBatch]:
             values = current.read()
             for b in batches:
                 for blob in b.column("arrays").to_pylist():
                     arrays, marks = unpickled(blob)
                     texts = Prepared.of(arrays)
-                    grads = texts.gradient(values, smoothed(marks))
+                    grads = texts.gradient(values, smoothed(marks), inherit)
                     rows = np.unique(texts.feature)
                     grads["embed"] = (rows.astype(np.int32), grads["embed"][rows])
                     yield pa.RecordBatch.from_arrays([pa.array([pickled(grads)], pa.binary())], names=["grads"])
