@@ -395,7 +395,7 @@ def hawkes(times: np.ndarray) -> tuple[float, float, float]:
             total -= math.log(mu + n * b * a)
         return total + mu * span + n * (1 - np.exp(-b * (span - t))).sum()
 
-    p = minimise(cost, np.array([math.log(rate / 2), 0.0, math.log(rate)]), 150)
+    p = minimise(cost, np.array([math.log(rate / 2), 0.0, math.log(rate)]), 400)
     return math.exp(p[0]), 1 / (1 + math.exp(-p[1])), math.exp(p[2])
 
 

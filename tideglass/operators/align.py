@@ -53,7 +53,11 @@ def asof(
     run = Window.partitionBy(*by, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_hit", F.last(hit, ignorenulls=True).over(run)).where("_q = 1").join(carried, [*by, "_day"], "left")
     best = F.coalesce("_hit", "_carry")
-    near = F.lit(True) if tolerance_ms is None else F.abs(F.col("ts") - best["t"]) <= tolerance_ms
+    near = F.lit(True)
+    for c in by:
+        near = near & F.col(c).isNotNull()
+    if tolerance_ms is not None:
+        near = near & (F.abs(F.col("ts") - best["t"]) <= tolerance_ms)
     return seen.withColumn("value", F.when(near, best["v"])).withColumn("value_ts", F.when(near, best["t"])).select(*queries.columns, "value", "value_ts")
 
 

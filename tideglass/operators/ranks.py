@@ -22,8 +22,7 @@ def floor_bucket(by: list[str], order: list[Column], parts: int) -> Column:
 
 def pearson(x: str, y: str) -> Column:
     """Correlation; 0 where one side doesn't vary or there are fewer than two pairs."""
-    r = F.corr(x, y)
-    return F.when(r.isNull() | F.isnan(r), 0.0).otherwise(r)
+    return F.coalesce(F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)), F.lit(0.0))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

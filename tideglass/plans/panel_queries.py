@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideglass.operators.ranks import average_rank, floor_bucket, spearman
+from tideglass.operators.ranks import average_rank, floor_bucket, pearson, spearman
 from tideglass.plans.registry import query
 from tideglass.plans.views import DAILY, RETURNS, WEEKLY, daily, weekly, weekly_returns
 
@@ -198,8 +198,7 @@ def pair_correlations(spark: SparkSession, folder: str) -> DataFrame:
     r = weekly_returns(spark, folder).where("ret IS NOT NULL").select("symbol", "week_idx", "ret")
     a, b = r.alias("a"), r.alias("b")
     j = a.join(b, (F.col("a.week_idx") == F.col("b.week_idx")) & (F.col("a.symbol") < F.col("b.symbol")))
-    c = F.corr("a.ret", "b.ret")
-    return j.groupBy(F.col("a.symbol").alias("a"), F.col("b.symbol").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.round(F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c), 7).alias("r"))
+    return j.groupBy(F.col("a.symbol").alias("a"), F.col("b.symbol").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.round(pearson("a.ret", "b.ret"), 7).alias("r"))
 
 
 @query(f"""SELECT symbol, lag_k, round(coalesce(nullif(corr(ret, was), 'nan'), 0.0), 7) AS r, count(*) AS n FROM (SELECT r.symbol, k.lag_k, r.ret, s.ret AS was FROM {RETURNS} r JOIN (SELECT unnest([1, 2, 4]) AS lag_k) k ON true JOIN {RETURNS} s ON r.symbol = s.symbol AND s.week_idx = r.week_idx - k.lag_k) x WHERE ret IS NOT NULL AND was IS NOT NULL GROUP BY 1, 2""")
@@ -208,5 +207,4 @@ def autocorrelation(spark: SparkSession, folder: str) -> DataFrame:
     r = weekly_returns(spark, folder).where("ret IS NOT NULL").select("symbol", "week_idx", "ret")
     shifted = r.select("symbol", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("lag_k"), "week_idx", F.col("ret").alias("then")).withColumn("week_idx", F.col("week_idx") + F.col("lag_k"))
     j = r.join(shifted, ["symbol", "week_idx"])
-    c = F.corr("ret", "then")
-    return j.groupBy("symbol", "lag_k").agg(F.round(F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c), 7).alias("r"), F.count(F.lit(1)).alias("n"))
+    return j.groupBy("symbol", "lag_k").agg(F.round(pearson("ret", "then"), 7).alias("r"), F.count(F.lit(1)).alias("n"))
