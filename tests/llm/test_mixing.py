@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tideglass.llm.mixing import Rates, SourceClassifier, mixed, shares
+from tideglass.llm.mixing import Rates, SourceClassifier, marks, mixed, shares
 
 DOCS, TARGETS = "doc_id long, text string, source string, tokens int", "source string, target_share double, max_repeats int"
 WORDS = {"a": "alpha beta gamma delta", "b": "uno due tre quattro", "c": "red green blue black"}
@@ -61,7 +61,7 @@ def test_same_selection_every_time(spark):
 
 def test_classifier_on_held_out_texts():
     docs = [d for d in corpus({"a": 60, "b": 60, "c": 60}) if d[1] and d[2] in WORDS]
-    model = SourceClassifier(["a", "b", "c"]).fit([d[1] for d in docs[::2]], [d[2] for d in docs[::2]])
+    model = SourceClassifier(["a", "b", "c"]).fit([marks(d[1]) for d in docs[::2]], [d[2] for d in docs[::2]])
     post = model.posterior([d[1] for d in docs[1::2]])
     assert post.sum(1) == pytest.approx(1)
     assert (post.argmax(1) == [["a", "b", "c"].index(d[2]) for d in docs[1::2]]).mean() > 0.95

@@ -44,8 +44,8 @@ class SourceClassifier:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def fit(self, texts: list[str], labels: list[str], steps: int = 60, rate: float = 0.1) -> SourceClassifier:
-        rows = [marks(t) for t in texts]
+    def fit(self, rows: list[np.ndarray], labels: list[str], steps: int = 60, rate: float = 0.1) -> SourceClassifier:
+        """From the ``marks`` of labelled texts."""
         size = np.array([max(len(r), 1) for r in rows])
         at = np.concatenate([r if len(r) else np.zeros(1, dtype=np.int64) for r in rows])
         starts = np.cumsum(size) - size
@@ -68,7 +68,11 @@ class SourceClassifier:
 
 
 def fitted(documents: DataFrame, sources: list[str], per_source: int = PER_SOURCE) -> SourceClassifier:
-    """The classifier, fitted on at most about ``per_source`` labelled records of each source."""
+    """The classifier, fitted on about ``per_source`` labelled records of each source at most.
+
+    Whole texts are reduced to their hashed marks (at most ``BUCKETS`` numbers each) where they
+    lie; only those of the bounded sample come to the driver.
+    """
     known = documents.where(F.col("source").isin(sources) & (F.length("text") > 0))
     counts = {r["source"]: r["count"] for r in known.groupBy("source").count().collect()}
     model = SourceClassifier(sources)
@@ -77,9 +81,14 @@ def fitted(documents: DataFrame, sources: list[str], per_source: int = PER_SOURC
         return model
     share = F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(int(min(1.0, per_source / n) * 1_000_000)))])
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < share[F.col("source")])
-    rows = sample.select(F.substring("text", 1, 20_000).alias("text"), "source").collect()
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("source"), pa.array([marks(t).tolist() for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], names=["source", "marks"])
+
+    rows = sample.select("source", "text").mapInArrow(reduce, "source string, marks array<long>").collect()
     model.bias[[k for k, s in enumerate(sources) if s not in counts]] = -np.inf
-    return model.fit([r.text for r in rows], [r.source for r in rows])
+    return model.fit([np.array(r.marks, dtype=np.int64) for r in rows], [r.source for r in rows])
 
 
 class Rates:
