@@ -28,7 +28,8 @@ def test_held_out_accuracy(spark):
     docs, truth = made(400, 1)
     labels = spark.createDataFrame([t for t in truth if t[0] % 2 == 0], "doc_id long, subject string")
     df = spark.createDataFrame(docs + [(900, None), (901, ""), (902, " \n "), (903, "123 !!")], "doc_id long, text string")
-    model = train(df, labels, sorted(TOPICS), steps=35, parts=3)
+    df = df.selectExpr("*", "1 AS share", "'x' AS subject", "2 AS subjects")
+    model = train(df, labels.selectExpr("*", "'t' AS text"), sorted(TOPICS), steps=35, parts=3)
     got = {(r.doc_id, r.subject) for r in subjects_of(df, model).collect()}
     want = {t for t in truth if t[0] % 2}
     mine = {g for g in got if g[0] % 2 and g[0] < 900}
