@@ -69,7 +69,8 @@ def test_lockstep_equals_each_alone():
 def test_gaps_flags_and_bad_rows(spark, rows):
     m = 60_000
     data = [("a", 0, 10.0), ("a", 0, 10.0), ("a", 16 * m, 12.0), ("a", DAY_MS + m, 5.0), ("b", None, 1.0), (None, 5, 1.0), ("b", 7, float("nan")), ("b", 8, None), ("b", 9, float("inf"))]
-    out = regular_grid(spark.createDataFrame(data, SCHEMA), "symbol", "v")
+    df = spark.createDataFrame(data, SCHEMA)
+    out = regular_grid(df.selectExpr("*", "1 AS value", "2 AS period_ms", "3 AS _block", "4 AS is_missing"), "symbol", "v")
     assert set(rows(out, "symbol", "period_ms", "readings", "is_missing")) == {("a", 0, 1, False), ("a", 300_000, 0, True), ("a", 600_000, 0, True), ("a", 900_000, 1, False), ("a", DAY_MS, 1, False)}
     filled = {r.period_ms: r for r in out.where("is_missing").collect()}
     assert 10 <= filled[300_000].value <= filled[600_000].value <= 12

@@ -165,7 +165,7 @@ def l2_snapshot_arrays(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH s AS (SELECT symbol, ts, sum(CAST(size AS DECIMAL(38,12))) FILTER (side = 'bid') AS b, sum(CAST(size AS DECIMAL(38,12))) FILTER (side = 'ask') AS a,
     max(price) FILTER (side = 'bid' AND level = 0) AS bb, min(price) FILTER (side = 'ask' AND level = 0) AS ba FROM {_BOOK1} x WHERE level < 5 GROUP BY 1, 2)
-  SELECT symbol, ts, round(CAST(b - a AS DOUBLE) / nullif(CAST(b + a AS DOUBLE), 0), 8) AS imbalance, round((bb + ba) / 2, 8) AS mid, round((ba - bb) / ((bb + ba) / 2) * 10000, 6) AS spread_bps FROM s WHERE b IS NOT NULL AND a IS NOT NULL"""
+  SELECT symbol, ts, round(CAST(b - a AS DOUBLE) / nullif(CAST(b + a AS DOUBLE), 0), 8) + 0.0 AS imbalance, round((bb + ba) / 2, 8) AS mid, round((ba - bb) / ((bb + ba) / 2) * 10000, 6) AS spread_bps FROM s WHERE b IS NOT NULL AND a IS NOT NULL"""
 )
 def book_imbalance(spark: SparkSession, folder: str) -> DataFrame:
     side = lambda s: F.col("side") == s
@@ -176,7 +176,7 @@ def book_imbalance(spark: SparkSession, folder: str) -> DataFrame:
     ).where("b IS NOT NULL AND a IS NOT NULL")
     mid = (F.col("bb") + F.col("ba")) / 2
     return s.select(
-        "symbol", "ts", F.round((F.col("b") - F.col("a")).cast("double") / F.nullif((F.col("b") + F.col("a")).cast("double"), F.lit(0.0)), 8).alias("imbalance"),
+        "symbol", "ts", (F.round((F.col("b") - F.col("a")).cast("double") / F.nullif((F.col("b") + F.col("a")).cast("double"), F.lit(0.0)), 8) + 0.0).alias("imbalance"),
         F.round(mid, 8).alias("mid"), F.round((F.col("ba") - F.col("bb")) / mid * 10000, 6).alias("spread_bps"),
     )
 

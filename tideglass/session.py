@@ -39,7 +39,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that every executor can reach.
+    """A fresh folder that every executor can reach, deleted when the driver ends.
 
     It lies under ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
     temporary folder of this machine is used.
@@ -49,7 +49,12 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "tideglass")
-    return f"{root.rstrip('/')}/tg-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/tg-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
 
 
 def written(df: DataFrame, folder: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
