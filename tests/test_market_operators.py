@@ -172,3 +172,21 @@ def test_per_series_edges(spark):
     got = per_series(df, ["k"], ["t"], ["v"], lambda t, v: {"n": len(v), "last": v[-1], "gap": int(np.isnan(v).sum())}, "n int, last double, gap int").collect()
     assert [tuple(r) for r in got] == [("a", 2, 5.0, 1)]
     assert per_series(df, ["k"], ["t"], ["v"], lambda t, v: None, "n int").count() == 0
+
+
+def test_block_windows_equal_plain_ones(spark, rows):
+    from pyspark.sql import Window
+
+    from tideglass.operators.blocks import with_last_known, with_previous, with_trailing
+
+    rng = np.random.default_rng(5)
+    data = [(str(rng.choice(["a", "b"])) if i % 9 else None, int(t), i, float(i) if i % 3 else None) for i, t in enumerate(rng.integers(0, 1000, 200))]
+    df = spark.createDataFrame(data, "k string, ts long, id long, v double").withColumn("_x", F.lit(1))
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    got = with_previous(df, ["k"], ["ts", "id"], ["id", "v"], block_ms=50).select("id", F.col("prev.id").alias("p"))
+    assert rows(got, "id", "p") == rows(df.select("id", F.lag("id").over(w).alias("p")), "id", "p")
+    known = F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("z")
+    assert rows(with_last_known(df, ["k"], ["ts", "id"], "v", "z", 50), "id", "z") == rows(df.select("id", known), "id", "z")
+    for back, ahead in ((30, 0), (120, -1), (10, 20)):
+        plain = df.select("id", F.sum("v").over(Window.partitionBy("k").orderBy("ts").rangeBetween(-back, ahead)).alias("z"))
+        assert rows(with_trailing(df, ["k"], "ts", back, ahead, {"z": F.sum("v")}, 50), "id", "z") == rows(plain, "id", "z")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions.events import DAY_MS
 from tideglass.operators import bars
+from tideglass.operators.blocks import with_previous, with_trailing
 from tideglass.operators.ranks import floor_bucket, spearman
 from tideglass.plans.registry import query
 from tideglass.plans.views import DAILY, FILLS, QUOTES, RETURNS, WEEKLY, daily, fills, quotes, weekly, weekly_returns
@@ -58,8 +59,8 @@ def rolling_features(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""SELECT tick_id, round(stddev_pop(funding_rate) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN 86400000 PRECEDING AND 1 PRECEDING), 7) AS sigma FROM {QUOTES} q WHERE funding_rate IS NOT NULL""")
 def trailing_sigma_24h(spark: SparkSession, folder: str) -> DataFrame:
     """Spread of the last 24 hours' funding, readings of the same ms excluded."""
-    w = Window.partitionBy("symbol").orderBy("ts").rangeBetween(-DAY_MS, -1)
-    return quotes(spark, folder).where("funding_rate IS NOT NULL").select("tick_id", F.round(F.stddev_pop("funding_rate").over(w), 7).alias("sigma"))
+    q = with_trailing(quotes(spark, folder).where("funding_rate IS NOT NULL"), ["symbol"], "ts", DAY_MS, -1, {"s": F.stddev_pop("funding_rate")})
+    return q.select("tick_id", F.round("s", 7).alias("sigma"))
 
 
 @query(f"""SELECT symbol, day_no, round(close, 6) AS close, CASE WHEN count(*) OVER w >= 20 THEN close > quantile_cont(close, 0.9) OVER w END AS above_q90 FROM {DAILY} d WINDOW w AS (PARTITION BY symbol ORDER BY day_no ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""")
@@ -133,8 +134,8 @@ def notional_bins(spark: SparkSession, folder: str) -> DataFrame:
   SELECT o.trade_id, CAST(CASE WHEN side = 'buy' THEN 64 ELSE 0 END + 8 * len(list_filter(se, lambda x: x <= size)) + len(list_filter(ie, lambda x: x <= iat)) AS INTEGER) AS token FROM o JOIN e ON o.symbol = e.symbol WHERE size IS NOT NULL AND iat IS NOT NULL AND side IS NOT NULL""")
 def trade_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Token of side, size octile and gap octile; the edges are those of the first day (the training part)."""
-    w = Window.partitionBy("symbol").orderBy("ts", "trade_id")
-    o = fills(spark, folder).withColumn("iat", (F.col("ts") - F.lag("ts").over(w)).cast("double")).where("size IS NOT NULL AND iat IS NOT NULL AND side IS NOT NULL")
+    f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["ts"])
+    o = f.withColumn("iat", (F.col("ts") - F.col("prev.ts")).cast("double")).where("size IS NOT NULL AND iat IS NOT NULL AND side IS NOT NULL")
     first = fills(spark, folder).agg(F.floor(F.min("ts") / DAY_MS)).first()[0]
     q = lambda c: F.percentile(c, F.array(*[F.lit(k / 8) for k in range(1, 8)]))
     train = o.where(F.floor(F.col("ts") / DAY_MS) == F.lit(first)) if first is not None else o

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions.events import DAY_MS
 from tideglass.operators import align, bars
+from tideglass.operators.blocks import with_last_known, with_previous, with_trailing
 from tideglass.plans.registry import query
 from tideglass.plans.views import FILLS, QUOTES, fills, quotes
 from tideglass.sources.tables import table
@@ -203,13 +204,13 @@ _CKS = f"""(SELECT symbol, ts, tick_id,
 def ofi_cks(spark: SparkSession, folder: str) -> DataFrame:
     """Order flow imbalance from moves of the best quotes, and its sum over the last minute."""
     q = quotes(spark, folder).where("bid1_price IS NOT NULL AND ask1_price IS NOT NULL AND bid1_size IS NOT NULL AND ask1_size IS NOT NULL")
-    w = Window.partitionBy("symbol").orderBy("ts", "tick_id")
-    was = lambda c: F.lag(c).over(w)
+    q = with_previous(q, ["symbol"], ["ts", "tick_id"], ["ts", "bid1_price", "bid1_size", "ask1_price", "ask1_size"])
+    was = lambda c: F.col(f"prev.{c}")
     bid = F.when(F.col("bid1_price") >= was("bid1_price"), F.col("bid1_size")).otherwise(0.0) - F.when(F.col("bid1_price") <= was("bid1_price"), was("bid1_size")).otherwise(0.0)
     ask = F.when(F.col("ask1_price") <= was("ask1_price"), F.col("ask1_size")).otherwise(0.0) - F.when(F.col("ask1_price") >= was("ask1_price"), was("ask1_size")).otherwise(0.0)
     e = q.select("symbol", "ts", "tick_id", F.when(was("ts").isNull(), 0.0).otherwise(bid - ask).alias("e"))
-    back = Window.partitionBy("symbol").orderBy("ts").rangeBetween(-60_000, 0)
-    return e.select("tick_id", (F.round("e", 6) + 0.0).alias("e"), (F.round(F.sum("e").over(back), 5) + 0.0).alias("ofi_60s"))
+    t = with_trailing(e, ["symbol"], "ts", 60_000, 0, {"s": F.sum("e")})
+    return t.select("tick_id", (F.round("e", 6) + 0.0).alias("e"), (F.round("s", 5) + 0.0).alias("ofi_60s"))
 
 
 @query(
@@ -218,16 +219,15 @@ def ofi_cks(spark: SparkSession, folder: str) -> DataFrame:
 )
 def tick_rule(spark: SparkSession, folder: str) -> DataFrame:
     """Sign of the last non-zero price move of the symbol; 0 before the first."""
-    w = Window.partitionBy("symbol").orderBy("ts", "trade_id")
-    d = fills(spark, folder).withColumn("s", F.nullif(F.signum(F.col("price") - F.lag("price").over(w)), F.lit(0.0)))
-    return d.select("trade_id", F.coalesce(F.last("s", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).cast("int").alias("tick"))
+    d = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["price"]).withColumn("s", F.nullif(F.signum(F.col("price") - F.col("prev.price")), F.lit(0.0)))
+    return with_last_known(d, ["symbol"], ["ts", "trade_id"], "s", "known").select("trade_id", F.coalesce("known", F.lit(0.0)).cast("int").alias("tick"))
 
 
 @query(f"""SELECT symbol, round(sum(dp * sv) / nullif(sum(sv * sv), 0), 12) AS kyle_lambda, count(dp) AS n FROM (
   SELECT symbol, price - lag(price) OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS dp, CASE WHEN side = 'buy' THEN size WHEN side = 'sell' THEN -size END AS sv FROM {FILLS} f) x WHERE dp IS NOT NULL AND sv IS NOT NULL GROUP BY symbol""")
 def kyle_lambda(spark: SparkSession, folder: str) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("ts", "trade_id")
-    r = fills(spark, folder).select("symbol", (F.col("price") - F.lag("price").over(w)).alias("dp"), F.when(F.col("side") == "buy", F.col("size")).when(F.col("side") == "sell", -F.col("size")).alias("sv"))
+    f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["price"])
+    r = f.select("symbol", (F.col("price") - F.col("prev.price")).alias("dp"), F.when(F.col("side") == "buy", F.col("size")).when(F.col("side") == "sell", -F.col("size")).alias("sv"))
     return r.where("dp IS NOT NULL AND sv IS NOT NULL").groupBy("symbol").agg(
         F.round(F.sum(F.col("dp") * F.col("sv")) / F.nullif(F.sum(F.col("sv") * F.col("sv")), F.lit(0.0)), 12).alias("kyle_lambda"), F.count("dp").alias("n")
     )
@@ -251,8 +251,8 @@ def daily_funding_and_oi(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""SELECT symbol, count(*) FILTER (seq <= before) AS breaks, count(*) AS n FROM (SELECT symbol, tick_id AS seq, lag(tick_id) OVER (PARTITION BY symbol ORDER BY ts, tick_id) AS before FROM {QUOTES} q) x GROUP BY symbol""")
 def sequence_breaks(spark: SparkSession, folder: str) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("ts", "tick_id")
-    return quotes(spark, folder).withColumn("before", F.lag("tick_id").over(w)).groupBy("symbol").agg(F.count_if(F.col("tick_id") <= F.col("before")).alias("breaks"), F.count(F.lit(1)).alias("n"))
+    q = with_previous(quotes(spark, folder), ["symbol"], ["ts", "tick_id"], ["tick_id"])
+    return q.groupBy("symbol").agg(F.count_if(F.col("tick_id") <= F.col("prev.tick_id")).alias("breaks"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT symbol, lower(side) AS side, count(*) AS n, min(level) AS least, CAST(quantile_cont(level, 0.5) AS DOUBLE) AS median, max(level) AS most, count(price) AS priced FROM orderbook_snapshots GROUP BY 1, 2""")
@@ -271,8 +271,8 @@ def coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""SELECT symbol, ts - before AS gap_ms, count(*) AS n FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS before FROM {FILLS} f) x WHERE ts > before GROUP BY 1, 2""")
 def inter_arrival(spark: SparkSession, folder: str) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("ts", "trade_id")
-    return fills(spark, folder).withColumn("gap_ms", F.col("ts") - F.lag("ts").over(w)).where("gap_ms > 0").groupBy("symbol", "gap_ms").agg(F.count(F.lit(1)).alias("n"))
+    f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["ts"])
+    return f.withColumn("gap_ms", F.col("ts") - F.col("prev.ts")).where("gap_ms > 0").groupBy("symbol", "gap_ms").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH d AS (SELECT symbol, CAST(ts // 86400000 AS BIGINT) AS day, *, row_number() OVER (PARTITION BY symbol, ts // 86400000 ORDER BY ts, trade_id) AS rn FROM {FILLS} f) SELECT trade_id FROM d WHERE rn <= 100""")
