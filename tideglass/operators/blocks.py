@@ -17,35 +17,37 @@ def _block(ts: str, block_ms: int) -> Column:
     return F.floor(F.col(ts) / block_ms)
 
 
-def with_previous(df: DataFrame, by: list[str], order: list[str], columns: list[str], name: str = "prev", block_ms: int = DAY_MS) -> DataFrame:
+def with_previous(df: DataFrame, by: list[str], order: list[str], columns: list[str], name: str = "prev", block_ms: int = DAY_MS, block: str | None = None) -> DataFrame:
     """``df`` with struct ``name``: ``columns`` of the row before in order of ``order`` (its first is the time in ms); null for the first.
 
     Rows with a null key form a group of their own; rows with a null time come before all others.
+    ``block`` names a column that already has the block, by which and ``by`` the rows may already be
+    partitioned; keys must not be null then.
     """
-    keyed = df.withColumn("_block", _block(order[0], block_ms))
+    keyed = df.withColumn("_block", _block(order[0], block_ms) if block is None else F.col(block))
     row = F.struct(*columns)
     last = keyed.groupBy(*by, "_block").agg(F.max_by(row, F.struct(*order)).alias("_last"))
     past = last.select(*by, "_block", F.lag("_last").over(Window.partitionBy(*by).orderBy("_block")).alias("_past"))
     inside = keyed.withColumn("_lag", F.lag(row).over(Window.partitionBy(*by, "_block").orderBy(*order)))
-    return _joined(inside, past, by).withColumn(name, F.coalesce("_lag", "_past")).drop("_block", "_lag", "_past")
+    return _joined(inside, past, by, block is None).withColumn(name, F.coalesce("_lag", "_past")).drop("_block", "_lag", "_past")
 
 
-def with_last_known(df: DataFrame, by: list[str], order: list[str], value: str, name: str, block_ms: int = DAY_MS) -> DataFrame:
+def with_last_known(df: DataFrame, by: list[str], order: list[str], value: str, name: str, block_ms: int = DAY_MS, block: str | None = None) -> DataFrame:
     """``df`` with ``name``: the last non-null ``value`` up to and including each row; null before the first."""
-    keyed = df.withColumn("_block", _block(order[0], block_ms))
+    keyed = df.withColumn("_block", _block(order[0], block_ms) if block is None else F.col(block))
     last = keyed.groupBy(*by, "_block").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     past = last.select(*by, "_block", F.last("_last", ignorenulls=True).over(before).alias("_past"))
     run = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = keyed.withColumn("_own", F.last(value, ignorenulls=True).over(run))
-    return _joined(inside, past, by).withColumn(name, F.coalesce("_own", "_past")).drop("_block", "_own", "_past")
+    return _joined(inside, past, by, block is None).withColumn(name, F.coalesce("_own", "_past")).drop("_block", "_own", "_past")
 
 
-def _joined(inside: DataFrame, past: DataFrame, by: list[str]) -> DataFrame:
+def _joined(inside: DataFrame, past: DataFrame, by: list[str], nulls: bool) -> DataFrame:
     """``inside`` with the carried column of its block, null keys joined too."""
     keys = [*by, "_block"]
     p = past.select(*[F.col(c).alias(f"_p_{c}") for c in keys], "_past")
-    on = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in keys]
+    on = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) if nulls else F.col(c) == F.col(f"_p_{c}") for c in keys]
     return inside.join(p, on, "left").drop(*[f"_p_{c}" for c in keys])
 
 

@@ -100,7 +100,7 @@ _TAPE = f"(SELECT symbol, CAST(ts // 86400000 AS BIGINT) AS day, CAST(ts // 6000
   SELECT symbol, day, count(r) AS n_consecutive, round(sum(r * r), 10) AS rv1, round(CAST(sum(v * v) AS DOUBLE) / nullif(CAST(sum(v) AS DOUBLE) * CAST(sum(v) AS DOUBLE), 0), 8) AS hhi FROM (SELECT symbol, day, r, CAST(v AS DOUBLE) AS v FROM r) x GROUP BY 1, 2""")
 def tape_descriptors(spark: SparkSession, folder: str) -> DataFrame:
     """Realised variance over consecutive minutes and concentration of volume over minutes."""
-    t = fills(spark, folder).groupBy("symbol", F.floor(F.col("ts") / DAY_MS).alias("day"), F.floor(F.col("ts") / 60_000).alias("m")).agg(F.max_by("price", F.struct("ts", "price")).alias("px"), F.sum(bars.exact("size")).cast("double").alias("v"))
+    t = fills(spark, folder).groupBy("symbol", "day", F.floor(F.col("ts") / 60_000).alias("m")).agg(F.max_by("price", F.struct("ts", "price")).alias("px"), F.sum(bars.exact("size")).cast("double").alias("v"))
     r = bars.log_returns(t, ["symbol", "day"], "m", "px", consecutive_only=True)
     return r.groupBy("symbol", "day").agg(F.count("ret").alias("n_consecutive"), F.round(F.sum(F.col("ret") * F.col("ret")), 10).alias("rv1"), F.round(F.sum(F.col("v") * F.col("v")) / F.nullif(F.sum("v") * F.sum("v"), F.lit(0.0)), 8).alias("hhi"))
 
@@ -134,11 +134,11 @@ def notional_bins(spark: SparkSession, folder: str) -> DataFrame:
   SELECT o.trade_id, CAST(CASE WHEN side = 'buy' THEN 64 ELSE 0 END + 8 * len(list_filter(se, lambda x: x <= size)) + len(list_filter(ie, lambda x: x <= iat)) AS INTEGER) AS token FROM o JOIN e ON o.symbol = e.symbol WHERE size IS NOT NULL AND iat IS NOT NULL AND side IS NOT NULL""")
 def trade_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Token of side, size octile and gap octile; the edges are those of the first day (the training part)."""
-    f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["ts"])
+    f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["ts"], block="day")
     o = f.withColumn("iat", (F.col("ts") - F.col("prev.ts")).cast("double")).where("size IS NOT NULL AND iat IS NOT NULL AND side IS NOT NULL")
     first = fills(spark, folder).agg(F.floor(F.min("ts") / DAY_MS)).first()[0]
     q = lambda c: F.percentile(c, F.array(*[F.lit(k / 8) for k in range(1, 8)]))
-    train = o.where(F.floor(F.col("ts") / DAY_MS) == F.lit(first)) if first is not None else o
+    train = o.where(F.col("day") == F.lit(first)) if first is not None else o
     e = train.groupBy("symbol").agg(q("size").alias("se"), q("iat").alias("ie"))
     below = lambda edges, v: F.size(F.filter(edges, lambda x: x <= F.col(v)))
     token = F.when(F.col("side") == "buy", 64).otherwise(0) + 8 * below("se", "size") + below("ie", "iat")
@@ -204,9 +204,9 @@ def trailing_median_turnover(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""SELECT symbol, CAST(ts // 86400000 AS BIGINT) AS day, round(sum(funding_rate), 10) AS cash_flow, count(funding_rate) AS n FROM (SELECT symbol, ts, funding_rate FROM {QUOTES} q QUALIFY row_number() OVER (PARTITION BY symbol, ts // 28800000 ORDER BY ts DESC, tick_id DESC) = 1) x GROUP BY 1, 2""")
 def daily_funding_sum(spark: SparkSession, folder: str) -> DataFrame:
     """Funding paid per day: the last rate of each eight hours."""
-    w = Window.partitionBy("symbol", F.floor(F.col("ts") / 28_800_000)).orderBy(F.desc("ts"), F.desc("tick_id"))
+    w = Window.partitionBy("symbol", "day", F.floor(F.col("ts") / 28_800_000)).orderBy(F.desc("ts"), F.desc("tick_id"))
     x = quotes(spark, folder).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return x.groupBy("symbol", F.floor(F.col("ts") / DAY_MS).alias("day")).agg(F.round(F.sum("funding_rate"), 10).alias("cash_flow"), F.count("funding_rate").alias("n"))
+    return x.groupBy("symbol", "day").agg(F.round(F.sum("funding_rate"), 10).alias("cash_flow"), F.count("funding_rate").alias("n"))
 
 
 @query(f"""SELECT day_no, round(coalesce(f.v, 0), 6) AS paid, d.close FROM {DAILY} d LEFT JOIN (SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS dn, sum(l_discount) AS v FROM lineitem GROUP BY 1) f ON d.day_no = f.dn WHERE d.symbol = 3""")

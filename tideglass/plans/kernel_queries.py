@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.functions import kernels as k
-from tideglass.functions.events import DAY_MS
 from tideglass.operators import backtest as bt
 from tideglass.operators import resampling as rs
 from tideglass.operators.grouped import per_series
@@ -23,7 +22,7 @@ def _closes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _prices(spark: SparkSession, folder: str) -> DataFrame:
     """Marks per symbol and UTC day."""
-    return quotes(spark, folder).where("mark_price > 0").select("symbol", F.floor(F.col("ts") / DAY_MS).alias("day"), "ts", F.ln("mark_price").alias("x"))
+    return quotes(spark, folder).where("mark_price > 0").select("symbol", "day", "ts", F.ln("mark_price").alias("x"))
 
 
 def _series(name: str, f, frame: str = "closes"):
@@ -98,7 +97,7 @@ def hawkes_fit(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def bunching_at_round_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Excess mass of notional at ten thousand per symbol and day."""
-    f = fills(spark, folder).select("symbol", F.floor(F.col("ts") / DAY_MS).alias("day"), "ts", (F.col("price") * F.col("size") / 1e4).alias("share"))
+    f = fills(spark, folder).select("symbol", "day", "ts", (F.col("price") * F.col("size") / 1e4).alias("share"))
     return per_series(f, ["symbol", "day"], ["ts"], ["share"], lambda t, s: {"excess": k.bunching(s[np.isfinite(s)]), "n": len(s)}, "excess double, n long")
 
 

@@ -21,22 +21,22 @@ _BARS = f"""SELECT symbol, CAST(ts // {{step}} AS BIGINT) AS minute_idx, arg_min
 
 @query(_BARS.format(step=60000))
 def ohlcv_1min(spark: SparkSession, folder: str) -> DataFrame:
-    return bars.ohlcv(fills(spark, folder), ["symbol"])
+    return bars.ohlcv(fills(spark, folder), ["symbol", "day"]).drop("day")
 
 
 @query(_BARS.format(step=3600000).replace("minute_idx", "hour_idx"))
 def ohlcv_1h(spark: SparkSession, folder: str) -> DataFrame:
-    return bars.ohlcv(fills(spark, folder), ["symbol"], 3_600_000, "hour_idx")
+    return bars.ohlcv(fills(spark, folder), ["symbol", "day"], 3_600_000, "hour_idx").drop("day")
 
 
 @query(f"""SELECT symbol, CAST(ts // 60000 AS BIGINT) AS bucket, arg_max(last_price, (ts, tick_id)) FILTER (last_price IS NOT NULL) AS last, count(*) AS n_rows, count(last_price) AS n_values FROM {QUOTES} q GROUP BY 1, 2""")
 def last_price_per_minute(spark: SparkSession, folder: str) -> DataFrame:
-    return bars.last_per_bucket(quotes(spark, folder), ["symbol"], "last_price", 60_000, "tick_id")
+    return bars.last_per_bucket(quotes(spark, folder), ["symbol", "day"], "last_price", 60_000, "tick_id").drop("day")
 
 
 @query(f"""SELECT symbol, CAST(ts // 1000 AS BIGINT) AS bucket, CAST(coalesce(sum(CASE WHEN side = 'buy' THEN {D38} ELSE -{D38} END), 0) AS DOUBLE) AS flow, count(*) AS n FROM {FILLS} f WHERE side IS NOT NULL GROUP BY 1, 2""")
 def signed_flow_1s(spark: SparkSession, folder: str) -> DataFrame:
-    return bars.signed_flow(fills(spark, folder), ["symbol"], 1000, strict=True)
+    return bars.signed_flow(fills(spark, folder), ["symbol", "day"], 1000, strict=True).drop("day")
 
 
 @query(
@@ -45,12 +45,12 @@ def signed_flow_1s(spark: SparkSession, folder: str) -> DataFrame:
   SELECT g.symbol, g.bucket, coalesce(flow, 0.0) AS flow, coalesce(n, 0) AS n FROM g LEFT JOIN b ON g.symbol = b.symbol AND g.bucket = b.bucket"""
 )
 def ofi_bins_5min(spark: SparkSession, folder: str) -> DataFrame:
-    return bars.on_grid(bars.signed_flow(fills(spark, folder), ["symbol"], 300_000, strict=False), ["symbol"], "bucket", {"flow": 0.0, "n": 0})
+    return bars.on_grid(bars.signed_flow(fills(spark, folder), ["symbol", "day"], 300_000, strict=False).drop("day"), ["symbol"], "bucket", {"flow": 0.0, "n": 0})
 
 
 @query(f"""SELECT symbol, ts, side, CAST(sum(CAST(price * size AS DECIMAL(38,8))) AS DOUBLE) AS notional, count(*) AS fills FROM {FILLS} f GROUP BY symbol, ts, side""")
 def parent_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return bars.parent_orders(fills(spark, folder), ["symbol"])
+    return bars.parent_orders(fills(spark, folder), ["symbol", "day"]).drop("day")
 
 
 _MINUTE = f"(SELECT symbol, CAST(ts // 86400000 AS BIGINT) AS day, CAST(ts // 60000 AS BIGINT) AS m, arg_max(price, (ts, price)) AS px FROM {FILLS} f GROUP BY 1, 2, 3)"
@@ -58,7 +58,7 @@ _MRET = f"(SELECT symbol, day, m, ln(px) - ln(lag(px) OVER (PARTITION BY symbol,
 
 
 def _minute_returns(spark: SparkSession, folder: str) -> DataFrame:
-    m = fills(spark, folder).groupBy("symbol", F.floor(F.col("ts") / DAY_MS).alias("day"), F.floor(F.col("ts") / 60_000).alias("m")).agg(F.max_by("price", F.struct("ts", "price")).alias("px"))
+    m = fills(spark, folder).groupBy("symbol", "day", F.floor(F.col("ts") / 60_000).alias("m")).agg(F.max_by("price", F.struct("ts", "price")).alias("px"))
     return bars.log_returns(m, ["symbol", "day"], "m", "px")
 
 
@@ -91,7 +91,7 @@ def bipower_jump(spark: SparkSession, folder: str) -> DataFrame:
   SELECT symbol, bucket, px, CASE WHEN i - seen <= 3 THEN last END AS filled FROM k"""
 )
 def ffill_capped(spark: SparkSession, folder: str) -> DataFrame:
-    b = fills(spark, folder).groupBy("symbol", F.floor(F.col("ts") / 300_000).alias("bucket")).agg(F.max_by("price", F.struct("ts", "price")).alias("px"))
+    b = fills(spark, folder).groupBy("symbol", "day", F.floor(F.col("ts") / 300_000).alias("bucket")).agg(F.max_by("price", F.struct("ts", "price")).alias("px"))
     return bars.filled_forward(bars.on_grid(b, ["symbol"], "bucket", {"px": None}), ["symbol"], "bucket", "px", most=3)
 
 
@@ -140,7 +140,7 @@ def event_merge(spark: SparkSession, folder: str) -> DataFrame:
 def panel_synchronised(spark: SparkSession, folder: str) -> DataFrame:
     """Three series on a shared grid, only where all have a bar (a panel is a choice of symbols)."""
     few = fills(spark, folder).where(F.col("symbol").isin("VLTUSDT", "KORIUSDT", "BREXUSDT"))
-    b = few.groupBy("symbol", F.floor(F.col("ts") / 1_800_000).alias("bucket")).agg(F.max_by("price", F.struct("ts", "price")).alias("px"))
+    b = few.groupBy("symbol", "day", F.floor(F.col("ts") / 1_800_000).alias("bucket")).agg(F.max_by("price", F.struct("ts", "price")).alias("px")).drop("day")
     return align.complete_rows(b, "bucket", "symbol", 3)
 
 
@@ -204,7 +204,7 @@ _CKS = f"""(SELECT symbol, ts, tick_id,
 def ofi_cks(spark: SparkSession, folder: str) -> DataFrame:
     """Order flow imbalance from moves of the best quotes, and its sum over the last minute."""
     q = quotes(spark, folder).where("bid1_price IS NOT NULL AND ask1_price IS NOT NULL AND bid1_size IS NOT NULL AND ask1_size IS NOT NULL")
-    q = with_previous(q, ["symbol"], ["ts", "tick_id"], ["ts", "bid1_price", "bid1_size", "ask1_price", "ask1_size"])
+    q = with_previous(q, ["symbol"], ["ts", "tick_id"], ["ts", "bid1_price", "bid1_size", "ask1_price", "ask1_size"], block="day")
     was = lambda c: F.col(f"prev.{c}")
     bid = F.when(F.col("bid1_price") >= was("bid1_price"), F.col("bid1_size")).otherwise(0.0) - F.when(F.col("bid1_price") <= was("bid1_price"), was("bid1_size")).otherwise(0.0)
     ask = F.when(F.col("ask1_price") <= was("ask1_price"), F.col("ask1_size")).otherwise(0.0) - F.when(F.col("ask1_price") >= was("ask1_price"), was("ask1_size")).otherwise(0.0)
@@ -219,14 +219,14 @@ def ofi_cks(spark: SparkSession, folder: str) -> DataFrame:
 )
 def tick_rule(spark: SparkSession, folder: str) -> DataFrame:
     """Sign of the last non-zero price move of the symbol; 0 before the first."""
-    d = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["price"]).withColumn("s", F.nullif(F.signum(F.col("price") - F.col("prev.price")), F.lit(0.0)))
-    return with_last_known(d, ["symbol"], ["ts", "trade_id"], "s", "known").select("trade_id", F.coalesce("known", F.lit(0.0)).cast("int").alias("tick"))
+    d = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["price"], block="day").withColumn("s", F.nullif(F.signum(F.col("price") - F.col("prev.price")), F.lit(0.0)))
+    return with_last_known(d, ["symbol"], ["ts", "trade_id"], "s", "known", block="day").select("trade_id", F.coalesce("known", F.lit(0.0)).cast("int").alias("tick"))
 
 
 @query(f"""SELECT symbol, round(sum(dp * sv) / nullif(sum(sv * sv), 0), 12) AS kyle_lambda, count(dp) AS n FROM (
   SELECT symbol, price - lag(price) OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS dp, CASE WHEN side = 'buy' THEN size WHEN side = 'sell' THEN -size END AS sv FROM {FILLS} f) x WHERE dp IS NOT NULL AND sv IS NOT NULL GROUP BY symbol""")
 def kyle_lambda(spark: SparkSession, folder: str) -> DataFrame:
-    f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["price"])
+    f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["price"], block="day")
     r = f.select("symbol", (F.col("price") - F.col("prev.price")).alias("dp"), F.when(F.col("side") == "buy", F.col("size")).when(F.col("side") == "sell", -F.col("size")).alias("sv"))
     return r.where("dp IS NOT NULL AND sv IS NOT NULL").groupBy("symbol").agg(
         F.round(F.sum(F.col("dp") * F.col("sv")) / F.nullif(F.sum(F.col("sv") * F.col("sv")), F.lit(0.0)), 12).alias("kyle_lambda"), F.count("dp").alias("n")
@@ -238,20 +238,20 @@ def kyle_lambda(spark: SparkSession, folder: str) -> DataFrame:
 def daily_basis(spark: SparkSession, folder: str) -> DataFrame:
     """Last known mark and index price per day, each by itself, and their ratio."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "tick_id")))
-    q = quotes(spark, folder).groupBy("symbol", F.floor(F.col("ts") / DAY_MS).alias("day")).agg(last("mark_price").alias("mark"), last("index_price").alias("index"))
+    q = quotes(spark, folder).groupBy("symbol", "day").agg(last("mark_price").alias("mark"), last("index_price").alias("index"))
     return q.withColumn("basis", F.round(F.col("mark") / F.nullif(F.col("index"), F.lit(0.0)) - 1, 10))
 
 
 @query(f"""SELECT symbol, CAST(ts // 86400000 AS BIGINT) AS day, round(avg(funding_rate), 10) AS mean_rate, count(funding_rate) AS n, arg_max(open_interest, (ts, tick_id)) FILTER (open_interest IS NOT NULL) AS oi_close FROM {QUOTES} q GROUP BY 1, 2""")
 def daily_funding_and_oi(spark: SparkSession, folder: str) -> DataFrame:
-    return quotes(spark, folder).groupBy("symbol", F.floor(F.col("ts") / DAY_MS).alias("day")).agg(
+    return quotes(spark, folder).groupBy("symbol", "day").agg(
         F.round(F.avg("funding_rate"), 10).alias("mean_rate"), F.count("funding_rate").alias("n"), F.max_by("open_interest", F.when(F.col("open_interest").isNotNull(), F.struct("ts", "tick_id"))).alias("oi_close")
     )
 
 
 @query(f"""SELECT symbol, count(*) FILTER (seq <= before) AS breaks, count(*) AS n FROM (SELECT symbol, tick_id AS seq, lag(tick_id) OVER (PARTITION BY symbol ORDER BY ts, tick_id) AS before FROM {QUOTES} q) x GROUP BY symbol""")
 def sequence_breaks(spark: SparkSession, folder: str) -> DataFrame:
-    q = with_previous(quotes(spark, folder), ["symbol"], ["ts", "tick_id"], ["tick_id"])
+    q = with_previous(quotes(spark, folder), ["symbol"], ["ts", "tick_id"], ["tick_id"], block="day")
     return q.groupBy("symbol").agg(F.count_if(F.col("tick_id") <= F.col("prev.tick_id")).alias("breaks"), F.count(F.lit(1)).alias("n"))
 
 
@@ -271,32 +271,32 @@ def coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""SELECT symbol, ts - before AS gap_ms, count(*) AS n FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS before FROM {FILLS} f) x WHERE ts > before GROUP BY 1, 2""")
 def inter_arrival(spark: SparkSession, folder: str) -> DataFrame:
-    f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["ts"])
+    f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["ts"], block="day")
     return f.withColumn("gap_ms", F.col("ts") - F.col("prev.ts")).where("gap_ms > 0").groupBy("symbol", "gap_ms").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH d AS (SELECT symbol, CAST(ts // 86400000 AS BIGINT) AS day, *, row_number() OVER (PARTITION BY symbol, ts // 86400000 ORDER BY ts, trade_id) AS rn FROM {FILLS} f) SELECT trade_id FROM d WHERE rn <= 100""")
 def row_cap_per_day(spark: SparkSession, folder: str) -> DataFrame:
     """The first hundred trades of each symbol and day (the cap is the operator)."""
-    w = Window.partitionBy("symbol", F.floor(F.col("ts") / DAY_MS)).orderBy("ts", "trade_id")
+    w = Window.partitionBy("symbol", "day").orderBy("ts", "trade_id")
     return fills(spark, folder).withColumn("rn", F.row_number().over(w)).where("rn <= 100").select("trade_id")
 
 
 @query(f"""SELECT symbol, CAST(ts // 300000 AS BIGINT) AS bucket, count(*) AS n, list(price ORDER BY ts, trade_id)[1:16] AS prices FROM {FILLS} f GROUP BY 1, 2 HAVING count(*) >= 4""")
 def event_windows_5min(spark: SparkSession, folder: str) -> DataFrame:
     """First sixteen prices of each five minutes with at least four trades (sequence length is the operator's parameter)."""
-    g = fills(spark, folder).groupBy("symbol", F.floor(F.col("ts") / 300_000).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("ts", "trade_id", "price"))).alias("s"))
+    g = fills(spark, folder).groupBy("symbol", "day", F.floor(F.col("ts") / 300_000).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("ts", "trade_id", "price"))).alias("s"))
     return g.where("n >= 4").select("symbol", "bucket", "n", F.transform(F.slice("s", 1, 16), lambda x: x["price"]).alias("prices"))
 
 
 @query(f"""SELECT symbol, CAST(ts // 3600000 AS BIGINT) AS hour, round(ln(1 + sum(size)), 8) AS log_volume, round(ln(1 + count(*)), 8) AS log_trades FROM {FILLS} f GROUP BY 1, 2""")
 def bucket_state(spark: SparkSession, folder: str) -> DataFrame:
-    return fills(spark, folder).groupBy("symbol", F.floor(F.col("ts") / 3_600_000).alias("hour")).agg(F.round(F.ln(1 + F.sum("size")), 8).alias("log_volume"), F.round(F.ln(1 + F.count(F.lit(1))), 8).alias("log_trades"))
+    return fills(spark, folder).groupBy("symbol", "day", F.floor(F.col("ts") / 3_600_000).alias("hour")).agg(F.round(F.ln(1 + F.sum("size")), 8).alias("log_volume"), F.round(F.ln(1 + F.count(F.lit(1))), 8).alias("log_trades")).drop("day")
 
 
 @query(f"""SELECT symbol, CAST(ts // 60000 AS BIGINT) AS m, round(count(*) / 60.0, 8) AS rate_per_s, max(size) AS largest FROM {FILLS} f GROUP BY 1, 2""")
 def event_rate(spark: SparkSession, folder: str) -> DataFrame:
-    return fills(spark, folder).groupBy("symbol", F.floor(F.col("ts") / 60_000).alias("m")).agg(F.round(F.count(F.lit(1)) / 60.0, 8).alias("rate_per_s"), F.max("size").alias("largest"))
+    return fills(spark, folder).groupBy("symbol", "day", F.floor(F.col("ts") / 60_000).alias("m")).agg(F.round(F.count(F.lit(1)) / 60.0, 8).alias("rate_per_s"), F.max("size").alias("largest")).drop("day")
 
 
 @query(f"""SELECT tick_id, CAST(28800 - (ts // 1000) % 28800 AS BIGINT) AS seconds_to_settlement FROM {QUOTES} q""")

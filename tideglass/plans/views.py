@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideglass.functions.events import DAY_MS
 from tideglass.sources.tables import table
 
 
 def fills(spark: SparkSession, folder: str) -> DataFrame:
-    """Each plausible trade once: trade_id, ts, symbol, price, size, side (buy, sell or null)."""
+    """Each plausible trade once: trade_id, ts, symbol, price, size, side (buy, sell or null), day.
+
+    Deliveries of a trade have its ts, so they meet in the partitioning by symbol and day, and what
+    groups by these and more needs no exchange of its own.
+    """
     side = F.lower("side")
     return (
         table(spark, folder, "trades")
         .where("symbol <> '' AND price > 0 AND NOT isnan(price)")
-        .groupBy("trade_id", "ts", "symbol", "price", F.col("volume").alias("size"), F.when(side.isin("buy", "sell"), side).alias("side"))
+        .select("trade_id", "ts", "symbol", "price", F.col("volume").alias("size"), F.when(side.isin("buy", "sell"), side).alias("side"), F.floor(F.col("ts") / DAY_MS).alias("day"))
+        .repartition("symbol", "day")
+        .groupBy("trade_id", "ts", "symbol", "price", "size", "side", "day")
         .agg(F.count(F.lit(1)).alias("_n"))
         .drop("_n")
     )
@@ -25,9 +32,10 @@ FILLS = """(SELECT DISTINCT trade_id, ts, symbol, price, volume AS size, CASE WH
 
 
 def quotes(spark: SparkSession, folder: str) -> DataFrame:
-    """Each timed ticker record once: tick_id, ts, symbol, prices, top of book, funding, open interest."""
+    """Each timed ticker record once: tick_id, ts, symbol, prices, top of book, funding, open interest, day; partitioned by symbol and day."""
     columns = ["tick_id", "symbol", "last_price", "mark_price", "index_price", "funding_rate", "open_interest", "bid1_price", "bid1_size", "ask1_price", "ask1_size"]
-    return table(spark, folder, "tickers").where("ts <> 0").groupBy(*columns, "ts").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    rows = table(spark, folder, "tickers").where("ts <> 0").select(*columns, "ts", F.floor(F.col("ts") / DAY_MS).alias("day")).repartition("symbol", "day")
+    return rows.groupBy(*columns, "ts", "day").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
 
 
 QUOTES = """(SELECT DISTINCT tick_id, symbol, last_price, mark_price, index_price, funding_rate, open_interest, bid1_price, bid1_size, ask1_price, ask1_size, ts
