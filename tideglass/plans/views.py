@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.functions.events import DAY_MS
+from tideglass.functions.events import DAY_MS, timed_records
 from tideglass.sources.tables import table
 
 
@@ -32,9 +32,13 @@ FILLS = """(SELECT DISTINCT trade_id, ts, symbol, price, volume AS size, CASE WH
 
 
 def quotes(spark: SparkSession, folder: str) -> DataFrame:
-    """Each timed ticker record once: tick_id, ts, symbol, prices, top of book, funding, open interest, day; partitioned by symbol and day."""
+    """Each timed ticker record once: tick_id, ts, symbol, prices, top of book, funding, open interest, day; partitioned by symbol and day.
+
+    ``ts`` is the event time: of a record whose own is 0, the receive time of its first delivery.
+    """
     columns = ["tick_id", "symbol", "last_price", "mark_price", "index_price", "funding_rate", "open_interest", "bid1_price", "bid1_size", "ask1_price", "ask1_size"]
-    rows = table(spark, folder, "tickers").where("ts <> 0").select(*columns, "ts", F.floor(F.col("ts") / DAY_MS).alias("day")).repartition("symbol", "day")
+    timed = timed_records(table(spark, folder, "tickers"), "tick_id", columns).withColumnRenamed("event_ms", "ts")
+    rows = timed.withColumn("day", F.floor(F.col("ts") / DAY_MS)).repartition("symbol", "day")
     return rows.groupBy(*columns, "ts", "day").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
 
 
