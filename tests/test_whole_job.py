@@ -1,5 +1,10 @@
 """Queries give the whole job: nothing is left out that their tables hold."""
 
+import numpy as np
+import pytest
+
+from tideglass.functions import kernels as k
+from tideglass.plans.kernel_queries import hawkes_fit
 from tideglass.plans.views import quotes
 
 TICKERS = "tick_id long, ts long, symbol string, last_price double, mark_price double, index_price double, funding_rate double, open_interest double, bid1_price double, bid1_size double, ask1_price double, ask1_size double, recv_ts double"
@@ -10,3 +15,29 @@ def test_quotes_place_records_without_own_time_by_their_first_delivery(spark, ro
     data = [(1, 0, "a", 1.0, 2.0, *rest, 90_000.7), (1, 0, "a", 1.0, 2.0, *rest, 90_000.25), (2, 70, "a", 1.0, 3.0, *rest, None), (2, 70, "a", 1.0, 3.0, *rest, 5.0), (3, 0, "a", 1.0, 4.0, *rest, None)]
     spark.createDataFrame(data, TICKERS).write.parquet(f"{tmp_path}/tickers.parquet")
     assert rows(quotes(spark, str(tmp_path)), "tick_id", "ts", "day", "mark_price") == [(1, 90_000_250, 1, 2.0), (2, 70, 0, 3.0)]
+
+
+def _hawkes_cost(t, mu, n, b):
+    """Negative log likelihood event by event, excitement from earlier times only."""
+    rate = [mu + n * b * np.exp(-b * (v - t[t < v])).sum() for v in t]
+    return mu * (t[-1] - t[0]) + n * (1 - np.exp(-b * (t[-1] - t))).sum() - np.log(rate).sum()
+
+
+def test_hawkes_counts_equal_times_as_events():
+    rng = np.random.default_rng(3)
+    t = np.sort(np.concatenate([rng.uniform(0, 600, 40)] * 2 + [rng.uniform(0, 600, 30)]))
+    fit = k.hawkes(t)
+    best = _hawkes_cost(t, *fit)
+    for i in range(3):
+        for f in (0.97, 1.03):
+            assert best <= _hawkes_cost(t, *[v * (f if i == j else 1) for j, v in enumerate(fit)]) + 1e-6
+    mu, n, b = fit
+    assert mu * (t[-1] - t[0]) + n * (1 - np.exp(-b * (t[-1] - t))).sum() == pytest.approx(len(t), rel=0.02)
+    assert np.isfinite(k.hawkes(np.array([0.0, 5.0, 5.0]))).all() and np.isnan(k.hawkes(np.array([1.0, 1.0, 1.0]))).all()
+
+
+def test_hawkes_fit_has_every_symbol_and_hour(spark, tmp_path):
+    data = [(i, 3_600_000 * h + 1000 * i, "a", 1.0, 1.0, "Buy") for h, n in enumerate((1, 3, 6)) for i in range(10 * h, 10 * h + n)]
+    spark.createDataFrame(data, "trade_id long, ts long, symbol string, price double, volume double, side string").write.parquet(f"{tmp_path}/trades.parquet")
+    got = {r.hour: r.mu for r in hawkes_fit(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2} and got[0] is None and got[1] > 0 and got[2] > 0

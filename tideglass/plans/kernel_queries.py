@@ -86,11 +86,10 @@ def _analog(r: np.ndarray) -> dict[str, float]:
 
 @query()
 def hawkes_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """Self-excitation of trade times per symbol and hour; hours of at least a hundred."""
+    """Self-excitation of trade times per symbol and hour; nulls for hours of fewer than three trades or a single time."""
     f = fills(spark, folder).withColumn("hour", F.floor(F.col("ts") / 3_600_000))
     def fit(t, s):
-        u = np.unique(t)
-        return dict(zip(("mu", "branching", "decay"), k.hawkes(u / 1000), strict=True)) if len(u) >= 100 else None
+        return dict(zip(("mu", "branching", "decay"), k.hawkes(t / 1000), strict=True))
     return per_series(f, ["symbol", "hour"], ["ts"], ["size"], fit, "mu double, branching double, decay double")
 
 
