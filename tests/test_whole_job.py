@@ -1,5 +1,7 @@
 """Queries give the whole job: nothing is left out that their tables hold."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -41,3 +43,19 @@ def test_hawkes_fit_has_every_symbol_and_hour(spark, tmp_path):
     spark.createDataFrame(data, "trade_id long, ts long, symbol string, price double, volume double, side string").write.parquet(f"{tmp_path}/trades.parquet")
     got = {r.hour: r.mu for r in hawkes_fit(spark, str(tmp_path)).collect()}
     assert set(got) == {0, 1, 2} and got[0] is None and got[1] > 0 and got[2] > 0
+
+
+def test_changepoints_keep_every_run_length():
+    x = np.random.default_rng(0).standard_normal(420)
+    weight, stats, want = [1.0], [(0.0, 1.0, 1.0, 1.0)], []
+    for v in x:
+        dens = []
+        for m, c, a, b in stats:
+            s = b * (c + 1) / (a * c)
+            dens.append(math.exp(math.lgamma(a + 0.5) - math.lgamma(a)) / math.sqrt(2 * a * math.pi * s) * (1 + (v - m) ** 2 / (2 * a * s)) ** -(a + 0.5))
+        joint = [w * d for w, d in zip(weight, dens)]
+        weight = [sum(joint) * 0.01, *[j * 0.99 for j in joint]]
+        weight = [w / sum(weight) for w in weight]
+        stats = [(0.0, 1.0, 1.0, 1.0), *[((c * m + v) / (c + 1), c + 1, a + 0.5, b + c * (v - m) ** 2 / (2 * (c + 1))) for m, c, a, b in stats]]
+        want.append(sum(weight[:5]))
+    assert np.allclose(k.changepoint_probability(x), want, atol=1e-9)

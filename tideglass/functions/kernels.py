@@ -152,25 +152,30 @@ def persistence_lengths(points: np.ndarray) -> np.ndarray:
 
 
 # -- filters --------------------------------------------------------------------------------
-def changepoint_probability(x: np.ndarray, hazard: float = 1 / 100, most: int = 200) -> np.ndarray:
-    """Bayesian online changepoint detection with a Student-t predictive: mass of short runs (under 5) after each point."""
-    mu, kappa, alpha, beta = np.zeros(1), np.ones(1), np.ones(1), np.ones(1)
+def changepoint_probability(x: np.ndarray, hazard: float = 1 / 100) -> np.ndarray:
+    """Bayesian online changepoint detection with a Student-t predictive: mass of short runs (under 5) after each point.
+
+    Every run length is kept, so time grows with the square of the series.
+    """
+    mu, beta = np.zeros(1), np.ones(1)
     log_run = np.zeros(1)
-    gam = np.vectorize(math.lgamma)
+    kappas = 1.0 + np.arange(len(x) + 1)
+    alphas = 1.0 + 0.5 * np.arange(len(x) + 1)
+    gammas = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in alphas])
     out = np.full(len(x), np.nan)
     for i, v in enumerate(x):
         if np.isfinite(v):
+            kappa, alpha = kappas[: len(mu)], alphas[: len(mu)]
             df, scale = 2 * alpha, beta * (kappa + 1) / (alpha * kappa)
-            pred = gam((df + 1) / 2) - gam(df / 2) - 0.5 * np.log(df * np.pi * scale) - (df + 1) / 2 * np.log1p((v - mu) ** 2 / (df * scale))
+            pred = gammas[: len(mu)] - 0.5 * np.log(df * np.pi * scale) - (df + 1) / 2 * np.log1p((v - mu) ** 2 / (df * scale))
             grow = log_run + pred
             top = grow.max()
             change = top + math.log(np.exp(grow - top).sum()) + math.log(hazard)
-            log_run = np.concatenate([[change], grow + math.log(1 - hazard)])[:most]
+            log_run = np.concatenate([[change], grow + math.log(1 - hazard)])
             top = log_run.max()
             log_run -= top + math.log(np.exp(log_run - top).sum())
-            beta = np.concatenate([[1.0], beta + kappa * (v - mu) ** 2 / (2 * (kappa + 1))])[:most]
-            mu = np.concatenate([[0.0], (kappa * mu + v) / (kappa + 1)])[:most]
-            kappa, alpha = np.concatenate([[1.0], kappa + 1])[:most], np.concatenate([[1.0], alpha + 0.5])[:most]
+            beta = np.concatenate([[1.0], beta + kappa * (v - mu) ** 2 / (2 * (kappa + 1))])
+            mu = np.concatenate([[0.0], (kappa * mu + v) / (kappa + 1)])
         out[i] = np.exp(log_run[:5]).sum()
     return out
 
