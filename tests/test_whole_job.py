@@ -59,3 +59,11 @@ def test_changepoints_keep_every_run_length():
         stats = [(0.0, 1.0, 1.0, 1.0), *[((c * m + v) / (c + 1), c + 1, a + 0.5, b + c * (v - m) ** 2 / (2 * (c + 1))) for m, c, a, b in stats]]
         want.append(sum(weight[:5]))
     assert np.allclose(k.changepoint_probability(x), want, atol=1e-9)
+
+
+def test_fractional_difference_takes_weights_down_to_the_threshold():
+    w = k.fractional_weights(0.4, 283)
+    assert k.fractional_length(0.4) == 282 and abs(w[281]) >= 1e-4 > abs(w[282])
+    out = k.fractional_difference(np.full(300, 12.0))
+    assert np.isnan(out[:281]).all() and np.allclose(out[281:], 12 * w[:282].sum())
+    assert k.fractional_length(1.0) == 2

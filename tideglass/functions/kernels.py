@@ -216,7 +216,18 @@ def fractional_weights(d: float, length: int) -> np.ndarray:
     return w
 
 
-def fractional_difference(x: np.ndarray, d: float = 0.4, length: int = 50) -> np.ndarray:
+def fractional_length(d: float, least: float = 1e-4) -> int:
+    """Number of weights before the first below ``least`` in absolute value."""
+    k, w = 0, 1.0
+    while abs(w) >= least:
+        k += 1
+        w = -w * (d - k + 1) / k
+    return k
+
+
+def fractional_difference(x: np.ndarray, d: float = 0.4, length: int | None = None) -> np.ndarray:
+    """Fractional differences by ``length`` weights, or all down to 1e-4; NaN before the filter is full."""
+    length = fractional_length(d) if length is None else length
     out = np.full(len(x), np.nan)
     if len(x) >= length:
         out[length - 1 :] = np.convolve(x, fractional_weights(d, length), "valid")
