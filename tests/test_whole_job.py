@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from tideglass.functions import kernels as k
+from tideglass.functions.events import DAY_MS
+from tideglass.operators.grid_smoother import regular_grid
 from tideglass.plans.kernel_queries import hawkes_fit
 from tideglass.plans.views import quotes
 
@@ -67,3 +69,14 @@ def test_fractional_difference_takes_weights_down_to_the_threshold():
     out = k.fractional_difference(np.full(300, 12.0))
     assert np.isnan(out[:281]).all() and np.allclose(out[281:], 12 * w[:282].sum())
     assert k.fractional_length(1.0) == 2
+
+
+def test_grid_runs_over_midnight_and_empty_days(spark, rows):
+    data = [("a", DAY_MS - 700_000, 10.0), ("a", 3 * DAY_MS + 400_000, 14.0), ("a", 3 * DAY_MS + 400_000, 16.0), ("b", 5, 1.0)]
+    out = regular_grid(spark.createDataFrame(data, "symbol string, event_ms long, v double"), "symbol", "v", across=True)
+    got = rows(out, "symbol", "period_ms", "readings", "is_missing")
+    periods = range(DAY_MS - 900_000, 3 * DAY_MS + 300_001, 300_000)
+    assert set(got) == {("a", p, int(p in (periods[0], periods[-1])), p not in (periods[0], periods[-1])) for p in periods} | {("b", 0, 1, False)}
+    assert len(got) == len(periods) + 1
+    value = {r.period_ms: r.value for r in out.where("symbol = 'a'").collect()}
+    assert value[DAY_MS] == pytest.approx(10, abs=0.2) and value[2 * DAY_MS] == pytest.approx(12.5, abs=0.3) and value[3 * DAY_MS] == pytest.approx(15, abs=0.2)

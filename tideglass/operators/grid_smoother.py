@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.functions.events import DAY_MS, PERIOD_MS
@@ -139,7 +139,20 @@ def _bundles(tables: Iterator[pa.Table]) -> Iterator[list[pa.Table]]:
         yield held
 
 
-def regular_grid(readings: DataFrame, source: str, value: str, step_ms: int = PERIOD_MS, block_ms: int = DAY_MS) -> DataFrame:
+def _carried(rows: DataFrame, block_ms: int) -> DataFrame:
+    """For each block between a source's first and last reading, empty ones too: the last reading before it and the first after it."""
+    at = rows.groupBy("_source", "_block", "event_ms").agg(F.avg("_value").alias("_value"))
+    edge = F.struct("event_ms", "_value")
+    edges = at.groupBy("_source", "_block").agg(F.min_by(edge, "event_ms").alias("_first"), F.max_by(edge, "event_ms").alias("_last"))
+    following = F.lead(F.struct("_block", "_first")).over(Window.partitionBy("_source").orderBy("_block"))
+    breaks = edges.withColumn("_next", following).where("_next IS NOT NULL")
+    step = F.lit(block_ms).cast("long")
+    before = breaks.select("_source", F.explode(F.sequence(F.col("_block") + step, F.col("_next._block"), step)).alias("_block"), "_last.event_ms", "_last._value")
+    after = breaks.select("_source", F.explode(F.sequence(F.col("_block"), F.col("_next._block") - step, step)).alias("_block"), "_next._first.event_ms", "_next._first._value")
+    return before.unionByName(after)
+
+
+def regular_grid(readings: DataFrame, source: str, value: str, step_ms: int = PERIOD_MS, block_ms: int = DAY_MS, across: bool = False) -> DataFrame:
     """A regular series per source: one row per step from the first to the last reading of each block.
 
     ``readings`` has ``source``, ``event_ms`` (long) and ``value`` (double). Rows of the result:
@@ -147,6 +160,10 @@ def regular_grid(readings: DataFrame, source: str, value: str, step_ms: int = PE
     ``is_missing`` (none did), ``value`` (smoothed level at ``period_ms``, on all readings of the
     block before and after) and ``value_sd`` (its standard deviation).
 
+    With ``across`` the rows run from the source's first to its last reading without a break: each
+    block, also one without readings, is filled to its ends with the last reading before it and the
+    first after it as further readings of its series.
+
     A block (a UTC day) of a source is one series of the smoother; blocks are what splits a source
     that holds most rows. Series run through the filter in lockstep, vectorised across series.
 
@@ -161,9 +178,12 @@ def regular_grid(readings: DataFrame, source: str, value: str, step_ms: int = PE
             for t in bundle:
                 when, first, size = np.unique(longs(t, "event_ms"), return_index=True, return_counts=True)
                 x = np.add.reduceat(numbers(t, "_value"), first) / size
-                grid = np.arange(when[0] - when[0] % step_ms, when[-1] + 1, step_ms)
+                start = t.column("_block")[0].as_py()
+                own = when[(when >= start) & (when < start + block_ms)]
+                first_ms = start if when[0] < start else when[0] - when[0] % step_ms
+                grid = np.arange(first_ms, min(when[-1] + 1, start + block_ms), step_ms)
                 series.append((when, x, grid))
-                counts.append(np.bincount((when - grid[0]) // step_ms, minlength=len(grid)))
+                counts.append(np.bincount((own - grid[0]) // step_ms, minlength=len(grid)))
             for t, (_, _, grid), n, (level, sd) in zip(bundle, series, counts, smooth_bundle(series), strict=True):
                 name = t.column("_source")[0].as_py()
                 yield pa.RecordBatch.from_arrays(
@@ -177,5 +197,7 @@ def regular_grid(readings: DataFrame, source: str, value: str, step_ms: int = PE
         "event_ms",
         F.col(value).alias("_value"),
     ).where("_source IS NOT NULL AND event_ms IS NOT NULL AND _value IS NOT NULL AND NOT isnan(_value) AND abs(_value) < double('inf')")
+    if across:
+        rows = rows.unionByName(_carried(rows, block_ms))
     schema = f"`{source}` string, period_ms long, readings long, is_missing boolean, value double, value_sd double"
     return rows.repartition("_source", "_block").sortWithinPartitions("_source", "_block", "event_ms").mapInArrow(kernel, schema)

@@ -47,7 +47,7 @@ def p1_changes_per_symbol(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_grid(spark: SparkSession, folder: str) -> DataFrame:
     """mark_price per symbol on a grid of five minutes, filled, with uncertainty and missing flags."""
-    return regular_grid(_mark_readings(spark, folder), "symbol", "mark_price").withColumnRenamed("value", "mark_price")
+    return regular_grid(_mark_readings(spark, folder), "symbol", "mark_price", across=True).withColumnRenamed("value", "mark_price")
 
 
 def _mark_readings(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +57,7 @@ def _mark_readings(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Periods without a mark_price reading between the first and the last of a symbol and UTC day."""
-    return p2_grid(spark, folder).where("is_missing").select("symbol", "period_ms")
+    return regular_grid(_mark_readings(spark, folder), "symbol", "mark_price").where("is_missing").select("symbol", "period_ms")
 
 
 def _both_feeds(spark: SparkSession, folder: str) -> DataFrame:
