@@ -8,6 +8,7 @@ import pytest
 from tideglass.functions import kernels as k
 from tideglass.functions.events import DAY_MS
 from tideglass.operators.grid_smoother import regular_grid
+from tideglass.plans.events_queries import cross_form_dedup, envelope_explode
 from tideglass.plans.kernel_queries import hawkes_fit
 from tideglass.plans.views import quotes
 
@@ -80,3 +81,11 @@ def test_grid_runs_over_midnight_and_empty_days(spark, rows):
     assert len(got) == len(periods) + 1
     value = {r.period_ms: r.value for r in out.where("symbol = 'a'").collect()}
     assert value[DAY_MS] == pytest.approx(10, abs=0.2) and value[2 * DAY_MS] == pytest.approx(12.5, abs=0.3) and value[3 * DAY_MS] == pytest.approx(15, abs=0.2)
+
+
+def test_frames_hold_trades_without_side_or_size(spark, rows, tmp_path):
+    data = [(1, 5, "a", 1.0, None, "Buy"), (3, 6, "a", 2.0, 4.0, None), (15, 7, "a", 3.0, None, "")]
+    spark.createDataFrame(data, "trade_id long, ts long, symbol string, price double, volume double, side string").write.parquet(f"{tmp_path}/trades.parquet")
+    want = [(False, "1", 5, "buy", 1.0, None), (True, "15", 7, None, 3.0, None), (True, "3", 6, None, 2.0, 4.0)]
+    for q in (envelope_explode, cross_form_dedup):
+        assert rows(q(spark, str(tmp_path)), "is_envelope", "trade_key", "ts", "side", "price", "size") == want

@@ -12,8 +12,8 @@ from tideglass.sources.tables import table
 
 
 def _frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Trades as raw frames: flat in one dialect, and enveloped by millisecond and symbol in another."""
-    f = fills(spark, folder).where("side IS NOT NULL AND size IS NOT NULL")
+    """Trades as raw frames: flat in one dialect, and enveloped by millisecond and symbol in another; null fields are left out."""
+    f = fills(spark, folder)
     text = lambda c: F.col(c).cast("decimal(30,10)").cast("string")
     flat = f.where("trade_id % 3 <> 0").select(F.col("ts").alias("ts_exchange_ms"), F.to_json(F.struct(F.initcap("side").alias("side"), text("price").alias("price"), text("size").alias("size"), F.col("trade_id").cast("string").alias("trdMatchID"))).alias("payload_json"))
     item = F.struct(F.col("ts").alias("T"), F.initcap("side").alias("S"), text("size").alias("v"), text("price").alias("p"), F.col("trade_id").cast("string").alias("i"))
