@@ -140,9 +140,9 @@ def quote_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT day, n, total FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1995-12-31', INTERVAL 1 DAY))::DATE AS day) c LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) o ON c.day = o.d""")
 def calendar_left_join(spark: SparkSession, folder: str) -> DataFrame:
-    """A gapless axis of days with the orders of each; null where there are none."""
-    days = spark.sql("SELECT explode(sequence(DATE'1995-01-01', DATE'1995-12-31', INTERVAL 1 DAY)) AS day")
+    """A gapless axis from the first to the last day with orders, with the orders of each; null where there are none."""
     o = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    days = o.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("day"))
     return days.join(o, "day", "left")
 
 

@@ -34,10 +34,10 @@ def half_hour_returns(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT a.b, a.px AS left_px, z.px AS right_px FROM {_HALF} a JOIN {_HALF} z ON a.b = z.b WHERE a.symbol = 'VLTUSDT' AND z.symbol = 'KORIUSDT'")
 def shared_grid_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Two series (an operator of pairs) side by side on the buckets both have."""
+    """Every pair of series side by side on the buckets both have."""
     h = _half_hours(spark, folder)
-    one = lambda s, n: h.where(F.col("symbol") == s).select("b", F.col("px").alias(n))
-    return one("VLTUSDT", "left_px").join(one("KORIUSDT", "right_px"), "b")
+    one = lambda n: h.select("b", F.col("symbol").alias(f"{n}_symbol"), F.col("px").alias(f"{n}_px"))
+    return one("left").join(one("right"), "b").where("left_symbol < right_symbol")
 
 
 @query(
@@ -211,9 +211,9 @@ def daily_funding_sum(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""SELECT day_no, round(coalesce(f.v, 0), 6) AS paid, d.close FROM {DAILY} d LEFT JOIN (SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS dn, sum(l_discount) AS v FROM lineitem GROUP BY 1) f ON d.day_no = f.dn WHERE d.symbol = 3""")
 def attach_daily_flow(spark: SparkSession, folder: str) -> DataFrame:
-    """A daily flow joined to one series' closes, 0 where there is none."""
+    """A daily flow joined to each series' closes, 0 where there is none."""
     f = table(spark, folder, "lineitem").groupBy(F.unix_date(F.to_date("l_shipdate")).alias("day_no")).agg(F.sum("l_discount").alias("v"))
-    return daily(spark, folder).where("symbol = 3").join(f, "day_no", "left").select("day_no", F.round(F.coalesce("v", F.lit(0.0)), 6).alias("paid"), "close")
+    return daily(spark, folder).join(f, "day_no", "left").select("symbol", "day_no", F.round(F.coalesce("v", F.lit(0.0)), 6).alias("paid"), "close")
 
 
 @query("""SELECT o_orderpriority AS symbol, t AS seconds, round(avg(CASE WHEN d <= t THEN 1.0 ELSE 0.0 END), 8) AS filled FROM (SELECT o_orderpriority, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey) x, (SELECT unnest([10, 30, 60, 90]) AS t) g GROUP BY 1, 2""")

@@ -119,11 +119,11 @@ def spectrum_of_weeks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def wavelet_leads(spark: SparkSession, folder: str) -> DataFrame:
-    """Lead of series 0 over each other by Morlet cross spectrum of the daily closes."""
+    """Lead of the first over the second series of every pair by Morlet cross spectrum of the daily closes."""
     c = _closes(spark, folder)
-    first = c.where("symbol = 0").select("day_no", F.col("x").alias("y"))
-    j = c.where("symbol <> 0").join(first, "day_no")
-    return per_series(j, ["symbol"], ["day_no"], ["x", "y"], lambda t, x, y: {"lead_days": k.wavelet_lead(np.diff(y), np.diff(x))} if len(x) > 64 else None, "lead_days double")
+    first = c.select(F.col("symbol").alias("a"), "day_no", F.col("x").alias("y"))
+    j = c.withColumnRenamed("symbol", "b").join(first, "day_no").where("a < b")
+    return per_series(j, ["a", "b"], ["day_no"], ["x", "y"], lambda t, x, y: {"lead_days": k.wavelet_lead(np.diff(y), np.diff(x))} if len(x) > 64 else None, "lead_days double")
 
 
 @query()

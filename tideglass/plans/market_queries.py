@@ -138,10 +138,9 @@ def event_merge(spark: SparkSession, folder: str) -> DataFrame:
   SELECT symbol, bucket, px FROM b WHERE bucket IN (SELECT bucket FROM b GROUP BY bucket HAVING count(DISTINCT symbol) = 3)"""
 )
 def panel_synchronised(spark: SparkSession, folder: str) -> DataFrame:
-    """Three series on a shared grid, only where all have a bar (a panel is a choice of symbols)."""
-    few = fills(spark, folder).where(F.col("symbol").isin("VLTUSDT", "KORIUSDT", "BREXUSDT"))
-    b = few.groupBy("symbol", "day", F.floor(F.col("ts") / 1_800_000).alias("bucket")).agg(F.max_by("price", F.struct("ts", "price")).alias("px")).drop("day")
-    return align.complete_rows(b, "bucket", "symbol", 3)
+    """All series on a shared grid, only where every one has a bar."""
+    b = fills(spark, folder).groupBy("symbol", "day", F.floor(F.col("ts") / 1_800_000).alias("bucket")).agg(F.max_by("price", F.struct("ts", "price")).alias("px")).drop("day")
+    return align.complete_rows(b, "bucket", "symbol", b.select("symbol").distinct().count())
 
 
 _BOOK1 = """(SELECT DISTINCT row_id, symbol, ts, lower(side) AS side, level, price, size FROM orderbook_snapshots)"""

@@ -74,18 +74,18 @@ _STATES = f"""(SELECT symbol, week_idx, (3 * row_number() OVER (PARTITION BY sym
   t AS (SELECT *, sum(c) OVER (PARTITION BY symbol) AS t, sum(c) OVER (PARTITION BY symbol, own, src) AS os, sum(c) OVER (PARTITION BY symbol, nxt, own) AS no, sum(c) OVER (PARTITION BY symbol, own) AS o FROM m)
   SELECT symbol, round(greatest(sum(c / t * log2(c * o / (os * no))), 0), 8) AS transfer_entropy, CAST(max(t) AS BIGINT) AS n FROM t GROUP BY symbol""")
 def transfer_entropy(spark: SparkSession, folder: str) -> DataFrame:
-    """Transfer entropy in bits from series 0 to each other, three rank bins, lag of one week."""
+    """Transfer entropy in bits from each series (source) to each other, three rank bins, lag of one week."""
     from tideglass.operators.ranks import floor_bucket
 
     s = weekly_returns(spark, folder).where("ret IS NOT NULL").withColumn("s", floor_bucket(["symbol"], [F.col("ret"), F.col("week_idx")], 3))
-    own = s.where("symbol <> 0").select("symbol", "week_idx", F.col("s").alias("own"))
+    own = s.select("symbol", "week_idx", F.col("s").alias("own"))
     nxt = s.select("symbol", (F.col("week_idx") - 1).alias("week_idx"), F.col("s").alias("nxt"))
-    src = s.where("symbol = 0").select("week_idx", F.col("s").alias("src"))
-    c = own.join(nxt, ["symbol", "week_idx"]).join(src, "week_idx").groupBy("symbol", "nxt", "own", "src").agg(F.count(F.lit(1)).alias("c"))
-    total = lambda *g: F.sum("c").over(Window.partitionBy("symbol", *g))
+    src = s.select(F.col("symbol").alias("source"), "week_idx", F.col("s").alias("src"))
+    c = own.join(nxt, ["symbol", "week_idx"]).join(src, "week_idx").where("source <> symbol").groupBy("source", "symbol", "nxt", "own", "src").agg(F.count(F.lit(1)).alias("c"))
+    total = lambda *g: F.sum("c").over(Window.partitionBy("source", "symbol", *g))
     t = c.withColumn("t", total()).withColumn("os", total("own", "src")).withColumn("no", total("nxt", "own")).withColumn("o", total("own"))
     te = F.sum(F.col("c") / F.col("t") * F.log2(F.col("c") * F.col("o") / (F.col("os") * F.col("no"))))
-    return t.groupBy("symbol").agg(F.round(F.greatest(te, F.lit(0.0)), 8).alias("transfer_entropy"), F.max("t").alias("n"))
+    return t.groupBy("source", "symbol").agg(F.round(F.greatest(te, F.lit(0.0)), 8).alias("transfer_entropy"), F.max("t").alias("n"))
 
 
 _CODES = f"""(SELECT symbol, CASE WHEN a <= b AND b <= c THEN 0 WHEN a <= c AND c < b THEN 1 WHEN b < a AND a <= c THEN 2 WHEN c < a AND a <= b THEN 3 WHEN b <= c AND c < a THEN 4 ELSE 5 END AS code FROM (
