@@ -52,7 +52,7 @@ def sentences(text: str | None) -> list[list[str]]:
             if "⺀" <= w[0]:
                 words += [w[i : i + 2] for i in range(max(len(w) - 1, 1))]
             elif len(w) > 1:
-                words.append(w[:40])
+                words.append(w)
         if words:
             out.append(words)
     return out
