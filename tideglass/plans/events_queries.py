@@ -21,7 +21,7 @@ def _frames(spark: SparkSession, folder: str) -> DataFrame:
     return flat.unionByName(packed)
 
 
-_ROWS = f"""(SELECT CAST(trade_id AS VARCHAR) AS trade_key, ts, side, CAST(CAST(price AS DECIMAL(30,10)) AS DOUBLE) AS price, CAST(CAST(size AS DECIMAL(30,10)) AS DOUBLE) AS size, trade_id FROM {FILLS} f WHERE side IS NOT NULL AND size IS NOT NULL)"""
+_ROWS = f"""(SELECT CAST(trade_id AS VARCHAR) AS trade_key, ts, side, CAST(CAST(price AS DECIMAL(30,10)) AS DOUBLE) AS price, CAST(CAST(size AS DECIMAL(30,10)) AS DOUBLE) AS size, trade_id FROM {FILLS} f)"""
 
 
 @query(f"""SELECT false AS is_envelope, trade_key, ts, side, price, size FROM {_ROWS} a WHERE trade_id % 3 <> 0 UNION ALL SELECT true, trade_key, ts, side, price, size FROM {_ROWS} b WHERE trade_id % 3 = 0 OR trade_id % 5 = 0""")
@@ -138,7 +138,7 @@ def quote_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("l_returnflag", "l_linestatus", "bucket", "n", *[F.round(F.col("q")[i], 6).alias(p) for i, p in enumerate(("p25", "p50", "p90"))])
 
 
-@query("""SELECT day, n, total FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1995-12-31', INTERVAL 1 DAY))::DATE AS day) c LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) o ON c.day = o.d""")
+@query("""SELECT day, n, total FROM (SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY))::DATE AS day FROM orders) c LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) o ON c.day = o.d""")
 def calendar_left_join(spark: SparkSession, folder: str) -> DataFrame:
     """A gapless axis from the first to the last day with orders, with the orders of each; null where there are none."""
     o = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

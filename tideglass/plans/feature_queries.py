@@ -32,7 +32,7 @@ def half_hour_returns(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("symbol", "b", F.round("ret", 9).alias("ret"))
 
 
-@query(f"SELECT a.b, a.px AS left_px, z.px AS right_px FROM {_HALF} a JOIN {_HALF} z ON a.b = z.b WHERE a.symbol = 'VLTUSDT' AND z.symbol = 'KORIUSDT'")
+@query(f"SELECT a.symbol AS left_symbol, z.symbol AS right_symbol, a.b, a.px AS left_px, z.px AS right_px FROM {_HALF} a JOIN {_HALF} z ON a.b = z.b WHERE a.symbol < z.symbol")
 def shared_grid_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of series side by side on the buckets both have."""
     h = _half_hours(spark, folder)
@@ -209,7 +209,7 @@ def daily_funding_sum(spark: SparkSession, folder: str) -> DataFrame:
     return x.groupBy("symbol", "day").agg(F.round(F.sum("funding_rate"), 10).alias("cash_flow"), F.count("funding_rate").alias("n"))
 
 
-@query(f"""SELECT day_no, round(coalesce(f.v, 0), 6) AS paid, d.close FROM {DAILY} d LEFT JOIN (SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS dn, sum(l_discount) AS v FROM lineitem GROUP BY 1) f ON d.day_no = f.dn WHERE d.symbol = 3""")
+@query(f"""SELECT symbol, day_no, round(coalesce(f.v, 0), 6) AS paid, d.close FROM {DAILY} d LEFT JOIN (SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS dn, sum(l_discount) AS v FROM lineitem GROUP BY 1) f ON d.day_no = f.dn""")
 def attach_daily_flow(spark: SparkSession, folder: str) -> DataFrame:
     """A daily flow joined to each series' closes, 0 where there is none."""
     f = table(spark, folder, "lineitem").groupBy(F.unix_date(F.to_date("l_shipdate")).alias("day_no")).agg(F.sum("l_discount").alias("v"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideglass.functions.events import DAY_MS
+from tideglass.functions.events import DAY_MS, timed_records
 from tideglass.operators import align, bars
 from tideglass.operators.blocks import with_last_known, with_previous, with_trailing
 from tideglass.plans.registry import query
@@ -134,8 +134,8 @@ def event_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH b AS (SELECT symbol, CAST(ts // 1800000 AS BIGINT) AS bucket, arg_max(price, (ts, price)) AS px FROM {FILLS} f WHERE symbol IN ('VLTUSDT', 'KORIUSDT', 'BREXUSDT') GROUP BY 1, 2)
-  SELECT symbol, bucket, px FROM b WHERE bucket IN (SELECT bucket FROM b GROUP BY bucket HAVING count(DISTINCT symbol) = 3)"""
+    f"""WITH b AS (SELECT symbol, CAST(ts // 1800000 AS BIGINT) AS bucket, arg_max(price, (ts, price)) AS px FROM {FILLS} f GROUP BY 1, 2)
+  SELECT symbol, bucket, px FROM b WHERE bucket IN (SELECT bucket FROM b GROUP BY bucket HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM b))"""
 )
 def panel_synchronised(spark: SparkSession, folder: str) -> DataFrame:
     """All series on a shared grid, only where every one has a bar."""
@@ -261,11 +261,19 @@ def l2_census(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("""SELECT 'trades' AS table_name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM trades UNION ALL SELECT 'tickers', count(*), min(ts) FILTER (ts <> 0), max(ts) FROM tickers
+@query(f"""SELECT 'trades' AS table_name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM trades
+  UNION ALL SELECT 'tickers', (SELECT count(*) FROM tickers), min(ts), max(ts) FROM {QUOTES} q
   UNION ALL SELECT 'orderbook_snapshots', count(*), min(ts), max(ts) FROM orderbook_snapshots""")
 def coverage(spark: SparkSession, folder: str) -> DataFrame:
-    part = lambda t: table(spark, folder, t).agg(F.count(F.lit(1)).alias("n"), F.min(F.nullif("ts", F.lit(0))).alias("first_ts"), F.max("ts").alias("last_ts")).select(F.lit(t).alias("table_name"), "n", "first_ts", "last_ts")
-    return part("trades").unionByName(part("tickers")).unionByName(part("orderbook_snapshots"))
+    """Rows of each table and the range of event times (of tickers without an own time, the first receive time)."""
+    span = [F.min("event_ms").alias("first_ts"), F.max("event_ms").alias("last_ts")]
+
+    def part(name: str, key: str) -> DataFrame:
+        t = table(spark, folder, name)
+        times = timed_records(t, key, [key]) if name == "tickers" else t.select(F.col("ts").alias("event_ms"))
+        return t.agg(F.count(F.lit(1)).alias("n")).join(times.agg(*span)).select(F.lit(name).alias("table_name"), "n", "first_ts", "last_ts")
+
+    return part("trades", "trade_id").unionByName(part("tickers", "tick_id")).unionByName(part("orderbook_snapshots", "row_id"))
 
 
 @query(f"""SELECT symbol, ts - before AS gap_ms, count(*) AS n FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS before FROM {FILLS} f) x WHERE ts > before GROUP BY 1, 2""")

@@ -70,9 +70,9 @@ def mutual_information(spark: SparkSession, folder: str) -> DataFrame:
 _STATES = f"""(SELECT symbol, week_idx, (3 * row_number() OVER (PARTITION BY symbol ORDER BY ret, week_idx) - 1) // count(*) OVER (PARTITION BY symbol) AS s FROM {RETURNS} r WHERE ret IS NOT NULL)"""
 
 
-@query(f"""WITH s AS {_STATES}, m AS (SELECT b.symbol, n.s AS nxt, b.s AS own, a.s AS src, count(*) AS c FROM s b JOIN s n ON n.symbol = b.symbol AND n.week_idx = b.week_idx + 1 JOIN s a ON a.symbol = 0 AND a.week_idx = b.week_idx WHERE b.symbol <> 0 GROUP BY 1, 2, 3, 4),
-  t AS (SELECT *, sum(c) OVER (PARTITION BY symbol) AS t, sum(c) OVER (PARTITION BY symbol, own, src) AS os, sum(c) OVER (PARTITION BY symbol, nxt, own) AS no, sum(c) OVER (PARTITION BY symbol, own) AS o FROM m)
-  SELECT symbol, round(greatest(sum(c / t * log2(c * o / (os * no))), 0), 8) AS transfer_entropy, CAST(max(t) AS BIGINT) AS n FROM t GROUP BY symbol""")
+@query(f"""WITH s AS {_STATES}, m AS (SELECT a.symbol AS source, b.symbol, n.s AS nxt, b.s AS own, a.s AS src, count(*) AS c FROM s b JOIN s n ON n.symbol = b.symbol AND n.week_idx = b.week_idx + 1 JOIN s a ON a.week_idx = b.week_idx WHERE b.symbol <> a.symbol GROUP BY 1, 2, 3, 4, 5),
+  t AS (SELECT *, sum(c) OVER (PARTITION BY source, symbol) AS t, sum(c) OVER (PARTITION BY source, symbol, own, src) AS os, sum(c) OVER (PARTITION BY source, symbol, nxt, own) AS no, sum(c) OVER (PARTITION BY source, symbol, own) AS o FROM m)
+  SELECT source, symbol, round(greatest(sum(c / t * log2(c * o / (os * no))), 0), 8) AS transfer_entropy, CAST(max(t) AS BIGINT) AS n FROM t GROUP BY source, symbol""")
 def transfer_entropy(spark: SparkSession, folder: str) -> DataFrame:
     """Transfer entropy in bits from each series (source) to each other, three rank bins, lag of one week."""
     from tideglass.operators.ranks import floor_bucket

@@ -42,8 +42,9 @@ def quotes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(*columns, "ts", "day").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
 
 
-QUOTES = """(SELECT DISTINCT tick_id, symbol, last_price, mark_price, index_price, funding_rate, open_interest, bid1_price, bid1_size, ask1_price, ask1_size, ts
-  FROM tickers WHERE ts <> 0)"""
+QUOTES = """(SELECT DISTINCT tick_id, symbol, last_price, mark_price, index_price, funding_rate, open_interest, bid1_price, bid1_size, ask1_price, ask1_size,
+  CASE WHEN ts <> 0 THEN ts ELSE CAST(floor(first_recv * 1000) AS BIGINT) END AS ts
+  FROM (SELECT *, min(recv_ts) OVER (PARTITION BY tick_id) AS first_recv FROM tickers) t WHERE ts <> 0 OR (ts = 0 AND first_recv IS NOT NULL))"""
 
 
 def daily(spark: SparkSession, folder: str) -> DataFrame:
