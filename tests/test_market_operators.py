@@ -38,6 +38,26 @@ def test_trade_dialects(spark, rows):
     assert normalize.plausible(out).where("price IS NULL").count() == 0
 
 
+def test_cross_form_repeats_stay_inside_their_symbol(spark, rows):
+    data = [("A", False, "1", 1.0), ("B", True, "1", 2.0), ("A", True, "1", 3.0), ("A", True, None, 4.0), ("A", True, None, 4.0), (None, False, "2", 5.0), (None, True, "2", 6.0), ("A", True, "2", 7.0)]
+    out = normalize.without_cross_form_repeats(spark.createDataFrame(data, "symbol string, is_envelope boolean, trade_key string, price double"), ("symbol",))
+    assert [r[0] for r in rows(out, "price")] == [1.0, 2.0, 4.0, 4.0, 5.0, 7.0]
+    empty = spark.createDataFrame([], "symbol string, is_envelope boolean, trade_key string, price double")
+    assert normalize.without_cross_form_repeats(empty, ("symbol",)).count() == 0
+
+
+def test_elements_of_other_kinds_do_not_lose_their_neighbours(spark):
+    body = json.dumps({"data": [1, "x", {"p": "2", "v": 1e-7, "i": "k"}, None]})
+    got = normalize.trade_rows(spark.createDataFrame([("S", 1, body), ("S", 2, json.dumps({"data": {"p": 3.5, "i": "m"}}))], FRAME)).collect()
+    assert {(r.trade_key, r.price, None if r.size is None else float(r.size)) for r in got if r.trade_key} == {("k", 2.0, 1e-7), ("m", 3.5, None)}
+
+
+def test_dropped_trades_are_counted(spark, rows):
+    data = [("a", 1.0, 1.0), ("a", 0.0, None), ("a", None, 2.0), ("a", float("nan"), 2.0), ("a", float("inf"), 2.0)]
+    out = normalize.counted_drops(spark.createDataFrame(data, "symbol string, price double, size double"), ["symbol"])
+    assert rows(out, "n", "kept", "no_price", "bad_price", "no_size") == [(5, 1, 1, 3, 1)]
+
+
 def test_instrument_names_and_symbols(spark):
     names = ["BTC-27JUN26-70000-C", "XRP_USDC-1JAN27-0d6535-P", "BTC-25AUG26-76500-C-USDT", "BTC-31FEB26-1-C", "BTC-1XXX26-1-P", "BTC", None]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(*[c.alias(k) for k, c in normalize.parsed_instrument(F.col("n")).items()])

@@ -90,6 +90,16 @@ def test_streaming_bars_drop_repeats(spark, tmp_path):
     assert drained(streams.streaming_sessions(again), "sessions").where(f"start_ms = {t + 1000}").first().n == 3
 
 
+def test_streaming_bars_keep_trades_without_key_and_equal_keys_of_two_symbols(spark, tmp_path):
+    t = 1_700_000_000_000 // 60_000 * 60_000
+    trade = lambda s, ts, i: frame(ts, f"publicTrade.{s}", s, {"data": [{"T": ts, "S": "Buy", "v": "1", "p": "10", **({"i": i} if i else {})}]})
+    data = [trade("B", t + 1, None)] * 5 + [trade("B", t + 2, "k"), trade("C", t + 3, "k"), trade("C", t + 3, "k"), trade("B", t + 200_000, "z")]
+    spark.createDataFrame(data, CONTAINER).write.parquet(f"{tmp_path}/in")
+    rows = streams.routed(streams.frames(spark, f"{tmp_path}/in"))["trades"]
+    got = drained(streams.streaming_bars(rows), "bars_of_keys").where(F.col("start_ms") == t).collect()
+    assert {r.symbol: r.n_trades for r in got} == {"B": 6, "C": 1}
+
+
 def test_latest_and_throttled_streams(spark, tmp_path):
     spark.createDataFrame([("a", 5, 1.0), ("a", 9, 2.0), ("a", 3, 3.0), ("b", 1, None)], "symbol string, ts long, last_price double").write.parquet(f"{tmp_path}/in")
     stream = lambda: spark.readStream.schema("symbol string, ts long, last_price double").parquet(f"{tmp_path}/in")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The field names under which venues give the same thing.
@@ -14,59 +14,74 @@ MAKER_FIELDS = ("is_buyer_maker", "m")
 TIME_FIELDS = ("T", "timestamp")
 
 
-def first_of(payload: Column, names: tuple[str, ...], prefix: str = "$.") -> Column:
-    """The first present of several JSON fields, as text."""
-    return F.coalesce(*[F.get_json_object(payload, f"{prefix}{n}") for n in names])
+def is_array_or_object(value: Column) -> Column:
+    """Whether a JSON text is an array or object; false (not null) for anything else."""
+    text = F.ltrim(value)
+    return F.coalesce(text.startswith("[") | text.startswith("{"), F.lit(False))
 
 
-def is_array_or_object(payload: Column, path: str) -> Column:
-    """Whether the JSON value at ``path`` is an array or object; false (not null) for anything else."""
-    value = F.ltrim(F.get_json_object(payload, path))
-    return F.coalesce(value.startswith("[") | value.startswith("{"), F.lit(False))
-
-
-def side_of(payload: Column) -> Column:
+def side_of(said: Column, maker: Column) -> Column:
     """``buy``, ``sell`` or null: from the side, or from the maker flag (a buying maker means the aggressor sold)."""
-    said = F.lower(first_of(payload, SIDE_FIELDS))
-    maker = F.lower(first_of(payload, MAKER_FIELDS))
+    said, maker = F.lower(said), F.lower(maker)
     return F.when(said.isin("buy", "sell"), said).when(said.isNull() & (maker == "true"), "sell").when(said.isNull() & (maker == "false"), "buy")
 
 
 def trade_rows(frames: DataFrame, payload: str = "payload_json", ts: str = "ts_exchange_ms", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per trade of flat and envelope frames.
 
-    An envelope is a frame with an array in ``data`` or ``params.data``; each element is a trade
-    with its own time, the packet's time standing in where it has none. Other frames are one trade
-    each. Price and size are parsed from the text of the field (sizes as exact decimals); text that is
-    no number gives null. Null or broken payloads give a row of nulls, empty arrays give none.
-    One pass over the frames: no branch reads them twice, and nothing is exchanged.
+    An envelope is a frame with an array or object in ``data`` or ``params.data``; each element is a
+    trade with its own time, the packet's time standing in where it has none. Other frames are one
+    trade each. Price and size are parsed from the text of the field (sizes as exact decimals); text
+    that is no number gives null. Null or broken payloads give a row of nulls, empty arrays give
+    none. One pass over the frames: each frame is parsed once for its envelope and each trade once
+    for all its fields, no branch reads them twice, and nothing is exchanged.
     """
     body = F.col(payload)
-    inner = F.coalesce(
-        F.when(is_array_or_object(body, "$.data"), F.get_json_object(body, "$.data")),
-        F.when(is_array_or_object(body, "$.params.data"), F.get_json_object(body, "$.params.data")),
-    )
-    listed = F.when(F.ltrim(inner).startswith("["), inner).otherwise(F.concat(F.lit("["), inner, F.lit("]")))
-    elements = F.from_json(listed, "array<string>")
-    each = F.explode(F.when(inner.isNotNull(), F.coalesce(elements, F.array())).otherwise(F.array(body)))
-    rows = frames.select(*keep, F.col(ts).alias("_packet"), inner.isNotNull().alias("is_envelope"), each.alias("_t"))
-    t = F.col("_t")
-    return rows.select(
+    frame = frames.select(*keep, F.col(ts).alias("_packet"), body.alias("_body"), F.from_json(body, "data string, params struct<data:string>").alias("_e"))
+    inner = F.coalesce(*[F.when(is_array_or_object(c), F.ltrim(c)) for c in (F.col("_e.data"), F.col("_e.params.data"))])
+    framed = frame.select(*keep, "_packet", "_body", inner.alias("_inner"))
+    listed = F.when(F.col("_inner").startswith("["), F.col("_inner")).otherwise(F.concat(F.lit("["), "_inner", F.lit("]")))
+    elements = F.coalesce(F.from_json(listed, "array<string>"), F.array())
+    each = F.explode(F.when(F.col("_inner").isNotNull(), elements).otherwise(F.array("_body")))
+    rows = framed.select(*keep, "_packet", F.col("_inner").isNotNull().alias("is_envelope"), each.alias("_text"))
+    names = [*ID_FIELDS, *PRICE_FIELDS, *SIZE_FIELDS, *SIDE_FIELDS, *MAKER_FIELDS, *TIME_FIELDS]
+    parsed = rows.withColumn("_t", F.from_json("_text", ", ".join(f"`{n}` string" for n in names)))
+    first = lambda fields: F.coalesce(*[F.col(f"_t.{n}") for n in fields])
+    return parsed.select(
         *keep,
         "is_envelope",
-        first_of(t, ID_FIELDS).alias("trade_key"),
-        F.coalesce(F.expr("try_cast(coalesce(get_json_object(_t, '$.T'), get_json_object(_t, '$.timestamp')) AS bigint)"), F.col("_packet")).alias("ts"),
-        side_of(t).alias("side"),
-        first_of(t, PRICE_FIELDS).try_cast("double").alias("price"),
-        first_of(t, SIZE_FIELDS).try_cast("decimal(38,12)").alias("size"),
+        first(ID_FIELDS).alias("trade_key"),
+        F.coalesce(first(TIME_FIELDS).try_cast("bigint"), F.col("_packet")).alias("ts"),
+        side_of(first(SIDE_FIELDS), first(MAKER_FIELDS)).alias("side"),
+        first(PRICE_FIELDS).try_cast("double").alias("price"),
+        first(SIZE_FIELDS).try_cast("decimal(38,12)").alias("size"),
     )
 
 
-def without_cross_form_repeats(trades: DataFrame) -> DataFrame:
-    """Envelope trades whose key also came as a flat row are dropped; flat rows and rows without key stay."""
-    flat = F.sum(F.when(~F.col("is_envelope"), 1).otherwise(0)).over(Window.partitionBy("trade_key"))
-    keyed = trades.where("trade_key IS NOT NULL").withColumn("_flat", flat).where("NOT is_envelope OR _flat = 0").drop("_flat")
-    return keyed.unionByName(trades.where("trade_key IS NULL"))
+def without_cross_form_repeats(trades: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Envelope trades whose key also came as a flat row of the same ``scope`` (symbol) are dropped; all other rows stay.
+
+    Ids are only unique inside a venue's symbol, so equal ids of two symbols are two trades; without
+    ``scope`` the rows are taken to be those of one symbol. Flat rows
+    and rows without key pass through where they lie; only envelope rows and the flat keys are
+    exchanged, by scope and key, which no single value can dominate. Null scopes are equal to each other.
+    """
+    flat = F.col("is_envelope").eqNullSafe(F.lit(False))
+    keys = trades.where(flat & F.col("trade_key").isNotNull()).select(*[F.col(c).alias(f"_f_{c}") for c in [*scope, "trade_key"]])
+    same = F.col("trade_key") == F.col("_f_trade_key")
+    for c in scope:
+        same = same & F.col(c).eqNullSafe(F.col(f"_f_{c}"))
+    packed = trades.where(~flat & F.col("trade_key").isNotNull()).join(keys, same, "leftanti")
+    return packed.unionByName(trades.where(flat | F.col("trade_key").isNull()))
+
+
+def counted_drops(trades: DataFrame, by: list[str]) -> DataFrame:
+    """How many trades the plausibility filter takes and drops per group, and why."""
+    price = F.col("price")
+    kept = F.coalesce((price > 0) & ~F.isnan(price) & (price < float("inf")), F.lit(False))
+    return trades.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(kept).alias("kept"), F.count_if(price.isNull()).alias("no_price"), F.count_if(price.isNotNull() & ~kept).alias("bad_price"), F.count_if(F.col("size").isNull()).alias("no_size")
+    )
 
 
 def plausible(trades: DataFrame) -> DataFrame:

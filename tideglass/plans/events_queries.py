@@ -12,27 +12,42 @@ from tideglass.sources.tables import table
 
 
 def _frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Trades as raw frames: flat in one dialect, and enveloped by millisecond and symbol in another; null fields are left out."""
+    """Trades as raw frames: flat in one dialect, and enveloped by second and symbol in another; null fields are left out.
+
+    The key of an even id is its half, so symbols share some; every eleventh trade has none, every seventh size is no number.
+    """
     f = fills(spark, folder)
     text = lambda c: F.col(c).cast("decimal(30,10)").cast("string")
-    flat = f.where("trade_id % 3 <> 0").select(F.col("ts").alias("ts_exchange_ms"), F.to_json(F.struct(F.initcap("side").alias("side"), text("price").alias("price"), text("size").alias("size"), F.col("trade_id").cast("string").alias("trdMatchID"))).alias("payload_json"))
-    item = F.struct(F.col("ts").alias("T"), F.initcap("side").alias("S"), text("size").alias("v"), text("price").alias("p"), F.col("trade_id").cast("string").alias("i"))
-    packed = f.where("trade_id % 3 = 0 OR trade_id % 5 = 0").groupBy((F.floor(F.col("ts") / 1000) * 1000 + 999).alias("ts_exchange_ms"), "symbol").agg(F.to_json(F.struct(F.collect_list(item).alias("data"))).alias("payload_json")).drop("symbol")
+    own = F.when(F.col("trade_id") % 2 == 0, F.floor(F.col("trade_id") / 2)).otherwise(F.col("trade_id"))
+    key = F.when(F.col("trade_id") % 11 != 0, own.cast("string"))
+    size = F.when(F.col("trade_id") % 7 == 0, "bad").otherwise(text("size"))
+    flat = f.where("trade_id % 3 <> 0").select("symbol", F.col("ts").alias("ts_exchange_ms"), F.to_json(F.struct(F.initcap("side").alias("side"), text("price").alias("price"), size.alias("size"), key.alias("trdMatchID"))).alias("payload_json"))
+    item = F.struct(F.col("ts").alias("T"), F.initcap("side").alias("S"), size.alias("v"), text("price").alias("p"), key.alias("i"))
+    packed = f.where("trade_id % 3 = 0 OR trade_id % 5 = 0").groupBy("symbol", "day", (F.floor(F.col("ts") / 1000) * 1000 + 999).alias("ts_exchange_ms")).agg(F.to_json(F.struct(F.collect_list(item).alias("data"))).alias("payload_json")).drop("day")
     return flat.unionByName(packed)
 
 
-_ROWS = f"""(SELECT CAST(trade_id AS VARCHAR) AS trade_key, ts, side, CAST(CAST(price AS DECIMAL(30,10)) AS DOUBLE) AS price, CAST(CAST(size AS DECIMAL(30,10)) AS DOUBLE) AS size, trade_id FROM {FILLS} f)"""
+_ROWS = f"""(SELECT symbol, CASE WHEN trade_id % 11 <> 0 THEN CAST(CASE WHEN trade_id % 2 = 0 THEN trade_id // 2 ELSE trade_id END AS VARCHAR) END AS trade_key, ts, side, CAST(CAST(price AS DECIMAL(30,10)) AS DOUBLE) AS price,
+  CASE WHEN trade_id % 7 <> 0 THEN CAST(CAST(size AS DECIMAL(30,10)) AS DOUBLE) END AS size, trade_id FROM {FILLS} f)"""
+_FORMS = f"""(SELECT symbol, false AS is_envelope, trade_key, ts, side, price, size FROM {_ROWS} a WHERE trade_id % 3 <> 0 UNION ALL SELECT symbol, true, trade_key, ts, side, price, size FROM {_ROWS} b WHERE trade_id % 3 = 0 OR trade_id % 5 = 0)"""
 
 
-@query(f"""SELECT false AS is_envelope, trade_key, ts, side, price, size FROM {_ROWS} a WHERE trade_id % 3 <> 0 UNION ALL SELECT true, trade_key, ts, side, price, size FROM {_ROWS} b WHERE trade_id % 3 = 0 OR trade_id % 5 = 0""")
+@query(f"SELECT * FROM {_FORMS} x")
 def envelope_explode(spark: SparkSession, folder: str) -> DataFrame:
     """Frames of both dialects (built from all trades) normalised to one row per trade."""
-    return normalize.trade_rows(_frames(spark, folder)).withColumn("size", F.col("size").cast("double"))
+    return normalize.trade_rows(_frames(spark, folder), keep=("symbol",)).withColumn("size", F.col("size").cast("double"))
 
 
-@query(f"SELECT trade_id % 3 = 0 AS is_envelope, trade_key, ts, side, price, size FROM {_ROWS} a")
+@query(f"SELECT * FROM {_FORMS} x WHERE NOT is_envelope OR trade_key IS NULL OR NOT EXISTS (SELECT 1 FROM {_FORMS} y WHERE NOT y.is_envelope AND y.symbol = x.symbol AND y.trade_key = x.trade_key)")
 def cross_form_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return normalize.without_cross_form_repeats(envelope_explode(spark, folder))
+    """Enveloped trades that came flat too are dropped, ids being those of a symbol."""
+    return normalize.without_cross_form_repeats(envelope_explode(spark, folder), ("symbol",))
+
+
+@query(f"SELECT symbol, count(*) AS n, count(*) FILTER (price > 0) AS kept, count(*) FILTER (price IS NULL) AS no_price, count(*) FILTER (price <= 0) AS bad_price, count(*) FILTER (size IS NULL) AS no_size FROM {_FORMS} x GROUP BY symbol")
+def dropped_trades(spark: SparkSession, folder: str) -> DataFrame:
+    """How many trades of each symbol the plausibility filter takes and drops."""
+    return normalize.counted_drops(envelope_explode(spark, folder), ["symbol"])
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM events""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideglass.functions.events import DAY_MS, timed_records
+from tideglass.functions.events import timed_records
 from tideglass.operators import align, bars
 from tideglass.operators.blocks import with_last_known, with_previous, with_trailing
 from tideglass.plans.registry import query
@@ -266,14 +266,12 @@ def l2_census(spark: SparkSession, folder: str) -> DataFrame:
   UNION ALL SELECT 'orderbook_snapshots', count(*), min(ts), max(ts) FROM orderbook_snapshots""")
 def coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each table and the range of event times (of tickers without an own time, the first receive time)."""
-    span = [F.min("event_ms").alias("first_ts"), F.max("event_ms").alias("last_ts")]
-
-    def part(name: str, key: str) -> DataFrame:
-        t = table(spark, folder, name)
-        times = timed_records(t, key, [key]) if name == "tickers" else t.select(F.col("ts").alias("event_ms"))
-        return t.agg(F.count(F.lit(1)).alias("n")).join(times.agg(*span)).select(F.lit(name).alias("table_name"), "n", "first_ts", "last_ts")
-
-    return part("trades", "trade_id").unionByName(part("tickers", "tick_id")).unionByName(part("orderbook_snapshots", "row_id"))
+    rows = lambda name: table(spark, folder, name).select("ts", F.lit(1).alias("_n"))
+    ticks = table(spark, folder, "tickers")
+    times = timed_records(ticks, "tick_id", ["tick_id"]).select(F.col("event_ms").alias("ts"), F.lit(0).alias("_n"))
+    parts = {"trades": rows("trades"), "tickers": ticks.select(F.lit(None).cast("long").alias("ts"), F.lit(1).alias("_n")).unionByName(times), "orderbook_snapshots": rows("orderbook_snapshots")}
+    out = [p.agg(F.sum("_n").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).select(F.lit(k).alias("table_name"), "n", "first_ts", "last_ts") for k, p in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query(f"""SELECT symbol, ts - before AS gap_ms, count(*) AS n FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS before FROM {FILLS} f) x WHERE ts > before GROUP BY 1, 2""")

@@ -56,8 +56,13 @@ def with_event_time(rows: DataFrame, lateness: str) -> DataFrame:
 
 
 def streaming_bars(trades: DataFrame, width: str = "1 minute", lateness: str = "10 seconds", slide: str | None = None) -> DataFrame:
-    """Bars by event time; a record delivered again within the lateness counts once, one beyond it is dropped."""
-    timed = with_event_time(trades, lateness).dropDuplicatesWithinWatermark(["trade_key"])
+    """Bars by event time; a record delivered again within the lateness counts once, one beyond it is dropped.
+
+    A record is (symbol, trade_key): symbols may share keys. Trades without a key can't be told apart and all count.
+    """
+    timed = with_event_time(trades, lateness)
+    keyed = timed.where("trade_key IS NOT NULL").dropDuplicatesWithinWatermark(["symbol", "trade_key"])
+    timed = keyed.unionByName(timed.where("trade_key IS NULL"))
     at = F.struct("ts", "price")
     w = F.window("event_time", width, slide) if slide else F.window("event_time", width)
     return timed.groupBy(w, "symbol").agg(
@@ -72,21 +77,12 @@ def streaming_sessions(rows: DataFrame, gap: str = "30 seconds", lateness: str =
 
 
 def latest_per_key(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """The value with the greatest ts of each key, kept over batches (update mode)."""
+    """The value with the greatest ts of each key, kept over batches (update mode); null times and values are none.
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, v = state.get if state.exists else (-1, float("nan"))
-        for p in parts:
-            p = p.dropna(subset=["ts", value])
-            if len(p):
-                i = p["ts"].idxmax()
-                if p.at[i, "ts"] >= ts:
-                    ts, v = int(p.at[i, "ts"]), float(p.at[i, value])
-        state.update((ts, v))
-        if ts >= 0:
-            yield pd.DataFrame({key: [k[0]], "ts": [ts], value: [v]})
-
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, ts long, {value} double", "ts long, v double", "update", GroupStateTimeout.NoTimeout)
+    An aggregate on the JVM: state is one row per key, combined before the exchange.
+    """
+    known = rows.where(F.col("ts").isNotNull() & F.col(value).isNotNull() & F.col(key).isNotNull())
+    return known.groupBy(key).agg(F.max(F.struct("ts", value)).alias("_last")).select(key, "_last.ts", f"_last.{value}")
 
 
 def throttled_stream(rows: DataFrame, key: str, least_ms: int) -> DataFrame:
