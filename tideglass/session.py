@@ -5,9 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows a task should hold at most where an operator chooses the number of tasks itself.
+ROWS_PER_TASK = 2_000_000
+#: Fewer rows than this are not worth a task of their own.
+LEAST_PER_TASK = 20_000
+_FOLDERS: list[str] = []
+
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -38,15 +46,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return configure(spark)
 
 
+def tasks_for(spark: SparkSession, rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
+    """How many tasks ``rows`` should make: none larger than ``rows_per_task``, and enough to keep all cores busy."""
+    busy = min(4 * spark.sparkContext.defaultParallelism, -(-rows // LEAST_PER_TASK))
+    return max(1, busy, -(-rows // rows_per_task))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that every executor can reach, deleted when the driver ends.
+    """A fresh folder that every executor can reach, deleted by ``clear_shared`` or when the driver ends.
 
-    It lies under ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder of this machine is used.
+    It lies under ``spark.checkpoint.dir``; only where that is unset and driver and executors are one
+    process (tests) a temporary folder of this machine is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "tideglass")
     folder = f"{root.rstrip('/')}/tg-{uuid.uuid4().hex}"
@@ -54,9 +69,33 @@ def shared_folder(spark: SparkSession) -> str:
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(path)
     system.deleteOnExit(path)
+    _FOLDERS.append(folder)
     return folder
 
 
+def clear_shared(spark: SparkSession) -> int:
+    """Delete the shared folders made so far; call it when no result that reads from them is needed any more."""
+    gone = 0
+    while _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
+@contextmanager
+def planner_option(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """An option of the session for the plans made inside the block, put back as it was behind it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, folder: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Cut the lineage: write ``df`` as parquet in ``folder`` and return the table read back."""
     writer = df.write.mode("overwrite")
