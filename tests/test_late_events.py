@@ -79,3 +79,28 @@ def test_empty_batch(spark, tmp_path):
     store = PeriodStore(spark, f"file://{tmp_path}/s")
     assert store.ingest(spark.createDataFrame([], SCHEMA)) == []
     assert store.records().count() == 0 and store.aggregates().count() == 0
+
+
+def test_a_backlog_is_routed_in_one_pass_to_the_same_records(spark, rows):
+    data = made(random.Random(9))
+    store = PeriodStore(spark, rows_per_slot=40)
+    df = spark.createDataFrame(data, SCHEMA)
+    store.ingest_all(df, 4)
+    assert {(r.src_table, r.rec_id): (r.period_ms, r.outcome) for r in store.records().collect()} == brute(data)
+    assert len(store.records().inputFiles()) > 6
+    kept = rows(store.records(), "src_table", "rec_id", "outcome")
+    assert store.compact() > 0 and rows(store.records(), "src_table", "rec_id", "outcome") == kept
+    assert PeriodStore(spark).ingest_all(spark.createDataFrame([], SCHEMA), 3) == [[]]
+
+
+def test_of_two_writers_of_a_batch_one_publishes(spark, tmp_path):
+    one, two = (PeriodStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    df = lambda k: spark.createDataFrame([("t", k, "a", 5, 1.0, 1.0, 1.0, None)], SCHEMA)
+    seen = two._manifest()
+    one.ingest(df(1))
+    own, two._manifest = two._manifest, lambda: seen
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.ingest(df(2))
+    two._manifest = own
+    two.ingest(df(2))
+    assert one.records().count() == 2

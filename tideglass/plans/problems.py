@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions.events import DAY_MS, floor_to, steps, timed_records
 from tideglass.operators.grid_smoother import regular_grid
-from tideglass.operators.late_events import PeriodStore, arrival_batches
+from tideglass.operators.late_events import PeriodStore
 from tideglass.operators.salted import two_stage
 from tideglass.operators.snapshot_diff import snapshot_changes
 from tideglass.operators.spikes import Field, implausible_readings
@@ -73,8 +73,7 @@ def _both_feeds(spark: SparkSession, folder: str) -> DataFrame:
 def late_event_store(spark: SparkSession, folder: str, batches: int = 3) -> PeriodStore:
     """A store that has taken in both feeds in ``batches`` deliveries, in order of arrival."""
     store = PeriodStore(spark)
-    for batch in arrival_batches(_both_feeds(spark, folder), batches):
-        store.ingest(batch)
+    store.ingest_all(_both_feeds(spark, folder), batches)
     return store
 
 
