@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
+HOUR_MS = 3_600_000
 PERIOD_MS = 300_000
 
 

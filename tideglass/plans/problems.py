@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.functions.events import DAY_MS, floor_to, steps, timed_records
+from tideglass.functions.events import DAY_MS, HOUR_MS, floor_to, steps, timed_records
 from tideglass.operators.grid_smoother import regular_grid
 from tideglass.operators.late_events import PeriodStore
 from tideglass.operators.salted import two_stage
@@ -28,6 +28,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "orderbook_snapshots")
         .join(sizes, "symbol")
         .select(
+            "row_id",
             "symbol",
             "ts",
             F.lower("side").alias("side"),
@@ -35,9 +36,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
             steps(F.col("size"), F.col("qty_step")).alias("size_steps"),
         )
     )
-    return snapshot_changes(
-        rows, ["symbol"], "ts", floor_to(F.col("ts"), DAY_MS), ["side", "price_ticks"], ["size_steps"], F.col("price_ticks").isNotNull()
-    )
+    ts, priced = F.col("ts"), F.col("price_ticks").isNotNull()
+    return snapshot_changes(rows, ["symbol"], "ts", floor_to(ts, DAY_MS), ["side", "price_ticks"], ["size_steps"], priced, ["row_id"], floor_to(ts, HOUR_MS))
 
 
 def p1_changes_per_symbol(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,7 +138,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_changes_per_symbol, p2_found, p2
 _TICKS = """SELECT tick_id, any_value(symbol) AS symbol, any_value(mark_price) AS mark_price, any_value(last_price) AS last_price,
   min(recv_ts) AS recv_ts, CASE WHEN any_value(ts) <> 0 THEN any_value(ts) ELSE CAST(floor(min(recv_ts) * 1000) AS BIGINT) END AS event_ms
   FROM tickers GROUP BY tick_id"""
-_BOOK = """SELECT DISTINCT s.symbol, ts, ts - ts % 86400000 AS day, lower(side) AS side,
+_BOOK = """SELECT DISTINCT row_id, s.symbol, ts, ts - ts % 86400000 AS day, lower(side) AS side,
   CAST(round(price / book_step) AS BIGINT) AS price_ticks, CAST(round(size / qty_step) AS BIGINT) AS q
   FROM orderbook_snapshots s JOIN instruments i ON s.symbol = i.symbol"""
 _CHANGES = f"""WITH book AS ({_BOOK}),
