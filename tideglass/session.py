@@ -5,8 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,18 +80,19 @@ def clear_shared(spark: SparkSession) -> int:
     return gone
 
 
-@contextmanager
-def planner_option(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """An option of the session for the plans made inside the block, put back as it was behind it."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+def planned_with(frames: list[DataFrame], options: dict[str, str]) -> list[DataFrame]:
+    """The frames in a session of their own: the caller's options and ``options`` on top.
+
+    What is built on them is planned with ``options``; the caller's session and its other plans keep
+    theirs. The data, caches and executors are shared.
+    """
+    spark = frames[0].sparkSession
+    own = spark.newSession()
+    for key, value in {**spark.conf.getAll, **options}.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    place = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows
+    return [DataFrame(place(own._jsparkSession, f._jdf.logicalPlan()), own) for f in frames]
 
 
 def written(df: DataFrame, folder: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
