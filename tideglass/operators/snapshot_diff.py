@@ -57,22 +57,25 @@ def snapshot_changes(
     )
     keys, values = [f"_k{i}" for i in range(len(key))], [f"_v{i}" for i in range(len(value))]
     group = [*source, "_period", "_block"] if block is not None else [*source, "_period"]
+    for c in group:
+        base = base.where(F.col(c).isNotNull())
     placed = base.repartition(*group)
-    single = placed.groupBy(*base.columns).agg(F.count(F.lit(1)).alias("_deliveries")).drop("_deliveries")
 
-    back = Window.partitionBy(*group).orderBy(F.col("_version").desc())
-    before = F.lag("_version").over(back)
+    cells = [f"_r{i}" for i in range(len(record or []))] + keys + values
+    back = Window.partitionBy(*group).orderBy(F.col("_version").desc(), *cells, "_valid")
+    before, whole = F.lag("_version").over(back), F.struct("_version", *cells, "_valid")
     linked = (
-        single.withColumn("_jump", F.when(before != F.col("_version"), before))
+        placed.withColumn("_jump", F.when(before != F.col("_version"), before))
+        .withColumn("_again", F.coalesce(F.lag(whole).over(back) == whole, F.lit(False)))
         .withColumn("_next", F.last("_jump", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_first", F.min("_version").over(Window.partitionBy(*group)))
-        .where("_valid")
+        .where("_valid AND NOT _again")
     )
     later = F.struct(F.when(F.col("_version") > F.col("_first"), F.col("_version")).alias("at"), F.lit(True).alias("later"))
     earlier = F.struct(F.col("_next").alias("at"), F.lit(False).alias("later"))
     inside = _changes(linked.select(*group, *keys, *values, F.explode(F.array(later, earlier)).alias("_o")).where("_o.at IS NOT NULL"), group, keys, values)
     if block is not None:
-        inside = inside.select(*source, "_version", *keys, "_later", "_earlier").unionByName(_across(single, placed, source, group, keys, values))
+        inside = inside.select(*source, "_version", *keys, "_later", "_earlier").unionByName(_across(base, placed, source, group, cells, keys, values))
     kind = F.when(~F.col("_earlier"), "added").when(~F.col("_later"), "removed").otherwise("changed")
     return inside.select(
         *source,
@@ -94,9 +97,9 @@ def _changes(sides: DataFrame, group: list[str], keys: list[str], values: list[s
     return residues.groupBy(*group, "_version", *keys).agg(F.max(F.col("_more") > 0).alias("_later"), F.max(F.col("_more") < 0).alias("_earlier"))
 
 
-def _across(single: DataFrame, placed: DataFrame, source: list[str], group: list[str], keys: list[str], values: list[str]) -> DataFrame:
+def _across(base: DataFrame, placed: DataFrame, source: list[str], group: list[str], cells: list[str], keys: list[str], values: list[str]) -> DataFrame:
     """Changes from the last snapshot of each block to the first of the next block with any, in the same period."""
-    span = placed.groupBy(*group).agg(F.min("_version").alias("_head"), F.max("_version").alias("_tail"))
+    span = base.groupBy(*group).agg(F.min("_version").alias("_head"), F.max("_version").alias("_tail"))
     in_turn = Window.partitionBy(*source, "_period").orderBy("_block")
     ends = span.select(
         *[F.col(c).alias(f"_e{c}") for c in group],
@@ -104,10 +107,10 @@ def _across(single: DataFrame, placed: DataFrame, source: list[str], group: list
         F.when(F.lag("_head").over(in_turn).isNotNull(), F.col("_head")).alias("_head"),
         F.lead("_head").over(in_turn).alias("_after"),
     )
-    rows = single.where("_valid").join(ends.hint("shuffle_hash"), [F.col(c) == F.col(f"_e{c}") for c in group])
+    rows = placed.join(ends.hint("shuffle_hash"), [F.col(c) == F.col(f"_e{c}") for c in group])
     offers = F.array(
         F.struct(F.when(F.col("_version") == F.col("_head"), F.col("_version")).alias("at"), F.lit(True).alias("later")),
         F.struct(F.when(F.col("_version") == F.col("_tail"), F.col("_after")).alias("at"), F.lit(False).alias("later")),
     )
-    sides = rows.select(*source, *keys, *values, F.explode(offers).alias("_o")).where("_o.at IS NOT NULL")
-    return _changes(sides, source, keys, values).select(*source, "_version", *keys, "_later", "_earlier")
+    sides = rows.select(*source, *cells, F.explode(F.when(F.col("_valid"), offers)).alias("_o")).where("_o.at IS NOT NULL")
+    return _changes(sides.distinct(), source, keys, values).select(*source, "_version", *keys, "_later", "_earlier")
