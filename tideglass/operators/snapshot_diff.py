@@ -73,7 +73,7 @@ def snapshot_changes(
     )
     later = F.struct(F.when(F.col("_version") > F.col("_first"), F.col("_version")).alias("at"), F.lit(True).alias("later"))
     earlier = F.struct(F.col("_next").alias("at"), F.lit(False).alias("later"))
-    inside = _changes(linked.select(*group, *keys, *values, F.explode(F.array(later, earlier)).alias("_o")).where("_o.at IS NOT NULL"), group, keys, values)
+    inside = _changes(_sides(linked, F.array(later, earlier), [*group, *keys, *values]), group, keys, values)
     if block is not None:
         inside = inside.select(*source, "_version", *keys, "_later", "_earlier").unionByName(_across(base, placed, source, group, cells, keys, values))
     kind = F.when(~F.col("_earlier"), "added").when(~F.col("_later"), "removed").otherwise("changed")
@@ -85,15 +85,16 @@ def snapshot_changes(
     )
 
 
+def _sides(rows: DataFrame, offers: Column, columns: list[str]) -> DataFrame:
+    """A row per offer (``at``, ``later``) to a snapshot there is."""
+    each = rows.select(*columns, F.explode(offers).alias("_o")).where("_o.at IS NOT NULL")
+    return each.select(*columns, F.col("_o.at").alias("_version"), F.col("_o.later").alias("_later"))
+
+
 def _changes(sides: DataFrame, group: list[str], keys: list[str], values: list[str]) -> DataFrame:
-    """Residues of offers (``_o.at``, ``_o.later``) joined by key: which sides have some."""
+    """Residues of the offers joined by key: which sides have some."""
     more = F.sum(F.when(F.col("_later"), 1).otherwise(-1))
-    residues = (
-        sides.select(*group, *keys, *values, F.col("_o.at").alias("_version"), F.col("_o.later").alias("_later"))
-        .groupBy(*group, "_version", *keys, *values)
-        .agg(more.alias("_more"))
-        .where("_more <> 0")
-    )
+    residues = sides.groupBy(*group, "_version", *keys, *values).agg(more.alias("_more")).where("_more <> 0")
     return residues.groupBy(*group, "_version", *keys).agg(F.max(F.col("_more") > 0).alias("_later"), F.max(F.col("_more") < 0).alias("_earlier"))
 
 
@@ -112,5 +113,5 @@ def _across(base: DataFrame, placed: DataFrame, source: list[str], group: list[s
         F.struct(F.when(F.col("_version") == F.col("_head"), F.col("_version")).alias("at"), F.lit(True).alias("later")),
         F.struct(F.when(F.col("_version") == F.col("_tail"), F.col("_after")).alias("at"), F.lit(False).alias("later")),
     )
-    sides = rows.select(*source, *cells, F.explode(F.when(F.col("_valid"), offers)).alias("_o")).where("_o.at IS NOT NULL")
-    return _changes(sides.distinct(), source, keys, values).select(*source, "_version", *keys, "_later", "_earlier")
+    sides = _sides(rows.where("_valid AND (_version = _head OR (_version = _tail AND _after IS NOT NULL))"), offers, [*source, *cells])
+    return _changes(sides.repartition(*source, "_version").distinct(), source, keys, values).select(*source, "_version", *keys, "_later", "_earlier")
