@@ -113,5 +113,6 @@ def _across(base: DataFrame, placed: DataFrame, source: list[str], group: list[s
         F.struct(F.when(F.col("_version") == F.col("_head"), F.col("_version")).alias("at"), F.lit(True).alias("later")),
         F.struct(F.when(F.col("_version") == F.col("_tail"), F.col("_after")).alias("at"), F.lit(False).alias("later")),
     )
-    sides = _sides(rows.where("_valid AND (_version = _head OR (_version = _tail AND _after IS NOT NULL))"), offers, [*source, *cells])
+    # _valid inside the offers: as a filter it would go below the exchange, which could not be shared then
+    sides = _sides(rows.where("_version = _head OR (_version = _tail AND _after IS NOT NULL)"), F.when(F.col("_valid"), offers), [*source, *cells])
     return _changes(sides.repartition(*source, "_version").distinct(), source, keys, values).select(*source, "_version", *keys, "_later", "_earlier")
