@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_MS = 86_400_000
+BLOCK_MS = 3_600_000
 
 
 def asof(
@@ -26,15 +26,15 @@ def asof(
     or times never match; null values are no readings.
 
     Queries and readings are laid together and one running window carries the reading along: one
-    exchange of each side, no pairs. The window runs per ``by`` and UTC day; what is carried into a
-    day from earlier ones comes from the last (first) reading of each day, a table of one row per
-    key and day. So a key that holds most rows is spread over its days.
+    exchange of each side, no pairs. The window runs per ``by`` and hour; what is carried into an
+    hour from earlier ones comes from the last (first) reading of each hour, a table of one row per
+    key and hour. So a key that holds most rows is spread over its hours.
     """
     backward = direction == "backward"
     tie_col = F.col(tie) if tie else F.lit(0)
     r = readings.where(F.col(value).isNotNull() & F.col("ts").isNotNull()).select(*by, "ts", F.col(value).alias("_v"), tie_col.alias("_tie"))
     q = queries.withColumn("_q", F.lit(1))
-    both = q.unionByName(r.withColumn("_q", F.lit(0)), allowMissingColumns=True).withColumn("_day", F.floor(F.col("ts") / BLOCK_MS))
+    both = q.unionByName(r.withColumn("_q", F.lit(0)), allowMissingColumns=True).withColumn("_block", F.floor(F.col("ts") / BLOCK_MS))
     hit = F.when(F.col("_q") == 0, F.struct(F.col("ts").alias("t"), F.col("_v").alias("v")))
     if backward:
         order = [F.col("ts").asc(), F.col("_q").asc(), F.col("_tie").asc_nulls_first()]
@@ -42,16 +42,16 @@ def asof(
     else:
         order = [F.col("ts").desc(), F.col("_q").asc(), F.col("_tie").asc_nulls_first()]
         end = F.min_by(F.struct(F.col("ts").alias("t"), F.col("_v").alias("v")), F.struct(F.col("ts"), (-F.col("_tie")).alias("tie")))
-    days = both.groupBy(*by, "_day").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    ends = r.withColumn("_day", F.floor(F.col("ts") / BLOCK_MS)).groupBy(*by, "_day").agg(end.alias("_own"))
-    by_day = Window.partitionBy(*by).orderBy(F.col("_day").asc() if backward else F.col("_day").desc())
+    days = both.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    ends = r.withColumn("_block", F.floor(F.col("ts") / BLOCK_MS)).groupBy(*by, "_block").agg(end.alias("_own"))
+    by_day = Window.partitionBy(*by).orderBy(F.col("_block").asc() if backward else F.col("_block").desc())
     carried = (
-        days.join(ends, [*by, "_day"], "left")
+        days.join(ends, [*by, "_block"], "left")
         .withColumn("_carry", F.last("_own", ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, -1)))
-        .select(*by, "_day", "_carry")
+        .select(*by, "_block", "_carry")
     )
-    run = Window.partitionBy(*by, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_hit", F.last(hit, ignorenulls=True).over(run)).where("_q = 1").join(carried, [*by, "_day"], "left")
+    run = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_hit", F.last(hit, ignorenulls=True).over(run)).where("_q = 1").join(carried, [*by, "_block"], "left")
     best = F.coalesce("_hit", "_carry")
     near = F.lit(True)
     for c in by:

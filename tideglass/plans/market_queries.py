@@ -203,7 +203,7 @@ _CKS = f"""(SELECT symbol, ts, tick_id,
 def ofi_cks(spark: SparkSession, folder: str) -> DataFrame:
     """Order flow imbalance from moves of the best quotes, and its sum over the last minute."""
     q = quotes(spark, folder).where("bid1_price IS NOT NULL AND ask1_price IS NOT NULL AND bid1_size IS NOT NULL AND ask1_size IS NOT NULL")
-    q = with_previous(q, ["symbol"], ["ts", "tick_id"], ["ts", "bid1_price", "bid1_size", "ask1_price", "ask1_size"], block="day")
+    q = with_previous(q, ["symbol"], ["ts", "tick_id"], ["ts", "bid1_price", "bid1_size", "ask1_price", "ask1_size"])
     was = lambda c: F.col(f"prev.{c}")
     bid = F.when(F.col("bid1_price") >= was("bid1_price"), F.col("bid1_size")).otherwise(0.0) - F.when(F.col("bid1_price") <= was("bid1_price"), was("bid1_size")).otherwise(0.0)
     ask = F.when(F.col("ask1_price") <= was("ask1_price"), F.col("ask1_size")).otherwise(0.0) - F.when(F.col("ask1_price") >= was("ask1_price"), was("ask1_size")).otherwise(0.0)
@@ -218,14 +218,14 @@ def ofi_cks(spark: SparkSession, folder: str) -> DataFrame:
 )
 def tick_rule(spark: SparkSession, folder: str) -> DataFrame:
     """Sign of the last non-zero price move of the symbol; 0 before the first."""
-    d = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["price"], block="day").withColumn("s", F.nullif(F.signum(F.col("price") - F.col("prev.price")), F.lit(0.0)))
-    return with_last_known(d, ["symbol"], ["ts", "trade_id"], "s", "known", block="day").select("trade_id", F.coalesce("known", F.lit(0.0)).cast("int").alias("tick"))
+    d = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["price"]).withColumn("s", F.nullif(F.signum(F.col("price") - F.col("prev.price")), F.lit(0.0)))
+    return with_last_known(d, ["symbol"], ["ts", "trade_id"], "s", "known").select("trade_id", F.coalesce("known", F.lit(0.0)).cast("int").alias("tick"))
 
 
 @query(f"""SELECT symbol, round(sum(dp * sv) / nullif(sum(sv * sv), 0), 12) AS kyle_lambda, count(dp) AS n FROM (
   SELECT symbol, price - lag(price) OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS dp, CASE WHEN side = 'buy' THEN size WHEN side = 'sell' THEN -size END AS sv FROM {FILLS} f) x WHERE dp IS NOT NULL AND sv IS NOT NULL GROUP BY symbol""")
 def kyle_lambda(spark: SparkSession, folder: str) -> DataFrame:
-    f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["price"], block="day")
+    f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["price"])
     r = f.select("symbol", (F.col("price") - F.col("prev.price")).alias("dp"), F.when(F.col("side") == "buy", F.col("size")).when(F.col("side") == "sell", -F.col("size")).alias("sv"))
     return r.where("dp IS NOT NULL AND sv IS NOT NULL").groupBy("symbol").agg(
         F.round(F.sum(F.col("dp") * F.col("sv")) / F.nullif(F.sum(F.col("sv") * F.col("sv")), F.lit(0.0)), 12).alias("kyle_lambda"), F.count("dp").alias("n")
@@ -250,7 +250,7 @@ def daily_funding_and_oi(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""SELECT symbol, count(*) FILTER (seq <= before) AS breaks, count(*) AS n FROM (SELECT symbol, tick_id AS seq, lag(tick_id) OVER (PARTITION BY symbol ORDER BY ts, tick_id) AS before FROM {QUOTES} q) x GROUP BY symbol""")
 def sequence_breaks(spark: SparkSession, folder: str) -> DataFrame:
-    q = with_previous(quotes(spark, folder), ["symbol"], ["ts", "tick_id"], ["tick_id"], block="day")
+    q = with_previous(quotes(spark, folder), ["symbol"], ["ts", "tick_id"], ["tick_id"])
     return q.groupBy("symbol").agg(F.count_if(F.col("tick_id") <= F.col("prev.tick_id")).alias("breaks"), F.count(F.lit(1)).alias("n"))
 
 
@@ -276,7 +276,7 @@ def coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""SELECT symbol, ts - before AS gap_ms, count(*) AS n FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS before FROM {FILLS} f) x WHERE ts > before GROUP BY 1, 2""")
 def inter_arrival(spark: SparkSession, folder: str) -> DataFrame:
-    f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["ts"], block="day")
+    f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["ts"])
     return f.withColumn("gap_ms", F.col("ts") - F.col("prev.ts")).where("gap_ms > 0").groupBy("symbol", "gap_ms").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -287,16 +287,28 @@ def row_cap_per_day(spark: SparkSession, folder: str) -> DataFrame:
     return fills(spark, folder).withColumn("rn", F.row_number().over(w)).where("rn <= 100").select("trade_id")
 
 
-@query(f"""SELECT symbol, CAST(ts // 300000 AS BIGINT) AS bucket, count(*) AS n, list(price ORDER BY ts, trade_id)[1:16] AS prices FROM {FILLS} f GROUP BY 1, 2 HAVING count(*) >= 4""")
+@query(f"""SELECT symbol, CAST(ts // 300000 AS BIGINT) AS bucket, count(*) AS n, list_resize(list(price ORDER BY ts, trade_id)[1:16], 16) AS prices FROM {FILLS} f GROUP BY 1, 2 HAVING count(*) >= 4""")
 def event_windows_5min(spark: SparkSession, folder: str) -> DataFrame:
-    """First sixteen prices of each five minutes with at least four trades (sequence length is the operator's parameter)."""
-    g = fills(spark, folder).groupBy("symbol", "day", F.floor(F.col("ts") / 300_000).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("ts", "trade_id", "price"))).alias("s"))
-    return g.where("n >= 4").select("symbol", "bucket", "n", F.transform(F.slice("s", 1, 16), lambda x: x["price"]).alias("prices"))
+    """First sixteen prices of each five minutes with at least four trades, padded with nulls (sequence length is the operator's parameter)."""
+    w = Window.partitionBy("symbol", "bucket")
+    numbered = fills(spark, folder).withColumn("bucket", F.floor(F.col("ts") / 300_000)).withColumn("rn", F.row_number().over(w.orderBy("ts", "trade_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    g = numbered.where("n >= 4 AND rn <= 16").groupBy("symbol", "bucket", "n").agg(F.sort_array(F.collect_list(F.struct("rn", "price"))).alias("s"))
+    padding = F.array_repeat(F.lit(None).cast("double"), 16 - F.size("s"))
+    return g.select("symbol", "bucket", "n", F.concat(F.transform("s", lambda x: x["price"]), padding).alias("prices"))
 
 
-@query(f"""SELECT symbol, CAST(ts // 3600000 AS BIGINT) AS hour, round(ln(1 + sum(size)), 8) AS log_volume, round(ln(1 + count(*)), 8) AS log_trades FROM {FILLS} f GROUP BY 1, 2""")
+@query(f"""WITH m AS (SELECT symbol, CAST(ts // 3600000 AS BIGINT) AS hour, CAST(ts // 60000 AS BIGINT) AS m, arg_max(price, (ts, price)) AS px, sum(CAST(size AS DECIMAL(38,12))) AS v, count(*) AS n FROM {FILLS} f GROUP BY 1, 2, 3),
+  r AS (SELECT *, CASE WHEN m - lag(m) OVER w = 1 THEN ln(px) - ln(lag(px) OVER w) END AS r FROM m WINDOW w AS (PARTITION BY symbol, hour ORDER BY m))
+  SELECT symbol, hour, round(ln(1 + CAST(sum(v) AS DOUBLE)), 8) AS log_volume, round(ln(1 + sum(n)), 8) AS log_trades, round(sqrt(sum(r * r)), 9) AS rv, arg_max(px, m) AS close, count(*) >= 45 AS whole FROM r GROUP BY 1, 2""")
 def bucket_state(spark: SparkSession, folder: str) -> DataFrame:
-    return fills(spark, folder).groupBy("symbol", "day", F.floor(F.col("ts") / 3_600_000).alias("hour")).agg(F.round(F.ln(1 + F.sum("size")), 8).alias("log_volume"), F.round(F.ln(1 + F.count(F.lit(1))), 8).alias("log_trades")).drop("day")
+    """Volume, trades, realised volatility over consecutive minutes and close of each hour, and whether 45 of its minutes traded."""
+    m = fills(spark, folder).groupBy("symbol", F.floor(F.col("ts") / 3_600_000).alias("hour"), F.floor(F.col("ts") / 60_000).alias("m")).agg(
+        F.max_by("price", F.struct("ts", "price")).alias("px"), F.sum(bars.exact("size")).alias("v"), F.count(F.lit(1)).alias("n"))
+    r = bars.log_returns(m, ["symbol", "hour"], "m", "px", consecutive_only=True)
+    return r.groupBy("symbol", "hour").agg(
+        F.round(F.ln(1 + F.sum("v").cast("double")), 8).alias("log_volume"), F.round(F.ln(1 + F.sum("n")), 8).alias("log_trades"), F.round(F.sqrt(F.sum(F.col("ret") * F.col("ret"))), 9).alias("rv"),
+        F.max_by("px", "m").alias("close"), (F.count(F.lit(1)) >= 45).alias("whole"),
+    )
 
 
 @query(f"""SELECT symbol, CAST(ts // 60000 AS BIGINT) AS m, round(count(*) / 60.0, 8) AS rate_per_s, max(size) AS largest FROM {FILLS} f GROUP BY 1, 2""")

@@ -12,18 +12,15 @@ from tideglass.sources.tables import table
 def fills(spark: SparkSession, folder: str) -> DataFrame:
     """Each plausible trade once: trade_id, ts, symbol, price, size, side (buy, sell or null), day.
 
-    Deliveries of a trade have its ts, so they meet in the partitioning by symbol and day, and what
-    groups by these and more needs no exchange of its own.
+    Deliveries meet by the hash of the whole record, so a symbol that holds most rows of a day is
+    spread evenly; what aggregates by symbol and time after that combines before its own exchange.
     """
     side = F.lower("side")
     return (
         table(spark, folder, "trades")
         .where("symbol <> '' AND price > 0 AND NOT isnan(price)")
         .select("trade_id", "ts", "symbol", "price", F.col("volume").alias("size"), F.when(side.isin("buy", "sell"), side).alias("side"), F.floor(F.col("ts") / DAY_MS).alias("day"))
-        .repartition("symbol", "day")
-        .groupBy("trade_id", "ts", "symbol", "price", "size", "side", "day")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .drop("_n")
+        .distinct()
     )
 
 
@@ -32,14 +29,13 @@ FILLS = """(SELECT DISTINCT trade_id, ts, symbol, price, volume AS size, CASE WH
 
 
 def quotes(spark: SparkSession, folder: str) -> DataFrame:
-    """Each timed ticker record once: tick_id, ts, symbol, prices, top of book, funding, open interest, day; partitioned by symbol and day.
+    """Each timed ticker record once: tick_id, ts, symbol, prices, top of book, funding, open interest, day.
 
     ``ts`` is the event time: of a record whose own is 0, the receive time of its first delivery.
     """
     columns = ["tick_id", "symbol", "last_price", "mark_price", "index_price", "funding_rate", "open_interest", "bid1_price", "bid1_size", "ask1_price", "ask1_size"]
     timed = timed_records(table(spark, folder, "tickers"), "tick_id", columns).withColumnRenamed("event_ms", "ts")
-    rows = timed.withColumn("day", F.floor(F.col("ts") / DAY_MS)).repartition("symbol", "day")
-    return rows.groupBy(*columns, "ts", "day").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    return timed.withColumn("day", F.floor(F.col("ts") / DAY_MS)).distinct()
 
 
 QUOTES = """(SELECT DISTINCT tick_id, symbol, last_price, mark_price, index_price, funding_rate, open_interest, bid1_price, bid1_size, ask1_price, ask1_size,
