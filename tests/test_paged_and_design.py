@@ -68,3 +68,21 @@ def test_design():
 def test_gate(spark):
     df = spark.createDataFrame([(1, 2), (1, None)], "a int, b int")
     assert [r[0] for r in df.select(design.gate({"a": F.col("a") > 0, "b": F.col("b") > 0})).collect()] == [True, False]
+
+
+def test_busy_sources_are_asked_again_after_growing_pauses():
+    slept = []
+    busy = {"retCode": 10_006}
+    assert list(paged.pages(paged.canned([busy, busy, page([1], "c"), page([2])]), {}, pause_s=0.5, tries=3, sleep=slept.append)) == [1, 2]
+    assert slept == [1.0, 2.0, 0.5]
+    with pytest.raises(OSError):
+        list(paged.pages(paged.canned([busy] * 2), {}, tries=2, sleep=slept.append))
+
+
+def test_pages_backwards_cover_the_range_once():
+    def fetch(request):
+        times = [t for t in range(100, 0, -10) if t < request["end"]][:3]
+        return {"retCode": 0, "result": {"list": [{"start": t} for t in times]}}
+
+    assert [e["start"] for e in paged.pages_back(fetch, {}, 35, 95)] == [90, 80, 70, 60, 50, 40]
+    assert list(paged.pages_back(lambda r: {"retCode": 0, "result": {"list": []}}, {}, 0, 10)) == []

@@ -119,3 +119,45 @@ def test_replay_source_and_segments(spark, tmp_path):
     q.stop()
     out = spark.read.parquet(f"{tmp_path}/out")
     assert out.count() == 5 and out.select("date").distinct().count() == 5 and sorted(r.last_price for r in out.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_raw_tree_keeps_text_of_symbols_and_dates(spark, tmp_path):
+    base = f"{tmp_path}/raw/x/trades"
+    spark.createDataFrame([(1, "{}", 5)], "ts_exchange_ms long, payload_json string, more int").write.parquet(f"{base}/symbol=007/date=2024-01-01")
+    spark.createDataFrame([(2, "t")], "ts_exchange_ms long, topic string").write.parquet(f"{base}/symbol=A/date=2024-01-02")
+    df = frames.raw_frames(spark, str(tmp_path), "x", "trades")
+    assert [tuple(r) for r in df.orderBy("ts_exchange_ms").select("symbol", "date", "topic", "payload_json").collect()] == [("007", "2024-01-01", None, "{}"), ("A", "2024-01-02", "t", None)]
+    assert ", ".join(f"{n} {k.replace('bigint', 'long')}" for n, k in df.dtypes) == frames.CONTAINER
+    assert frames.raw_frames(spark, str(tmp_path), "x", "none").count() == 0
+
+
+def test_a_failed_write_leaves_no_second_copy(spark, tmp_path, monkeypatch):
+    bars = spark.createDataFrame([("2024-01-01", 1.0), ("2024-01-02", 2.0)], "date string, px double")
+    folder, manifest = f"{tmp_path}/bars", f"{tmp_path}/manifest"
+    whole = sinks._published
+
+    def lost(*a):
+        whole(*a)
+        raise RuntimeError("lost before the manifest")
+
+    monkeypatch.setattr(sinks, "_published", lost)
+    with pytest.raises(RuntimeError):
+        sinks.write_immutable(bars, folder, ["date"], manifest, 1)
+    monkeypatch.setattr(sinks, "_published", whole)
+    sinks.write_immutable(bars, folder, ["date"], manifest, 1)
+    assert spark.read.parquet(folder).count() == 2 and spark.read.parquet(manifest).count() == 2
+    hot = spark.createDataFrame([(1,), (86_400_000,)], "ts long")
+    for _ in range(2):
+        sinks.archive(hot, 1000, f"{tmp_path}/cold", f"{tmp_path}/rest")
+    assert spark.read.parquet(f"{tmp_path}/cold").count() == 1
+
+
+def test_unfinished_panel_years_are_refused_and_frozen_ones_stay(spark, tmp_path):
+    rows = lambda n, v: spark.createDataFrame([("A", 2020, k, v) for k in range(n)], "symbol string, year int, start_ms long, close double")
+    folder, manifest = f"{tmp_path}/panel", f"{tmp_path}/m"
+    sinks.write_panel(rows(1, 1.0), folder, manifest, 2)
+    with pytest.raises(Exception, match="not a whole partition"):
+        sinks.read_panel(spark, folder, manifest).collect()
+    sinks.write_panel(rows(2, 2.0), folder, manifest, 2, frozen=True)
+    sinks.write_panel(rows(2, 3.0), folder, manifest, 2)
+    assert {r.close for r in sinks.read_panel(spark, folder, manifest).collect()} == {2.0}

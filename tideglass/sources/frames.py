@@ -13,20 +13,30 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 CONTAINER = "ts_local_ns long, ts_exchange_ms long, topic string, stream string, symbol string, payload_json string, date string"
 
 
+def _children(spark: SparkSession, folder: str, key: str) -> list[tuple[str, str]]:
+    """(value, path) of the partition folders ``key=value`` directly below ``folder``; files are not looked at."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(path)]
+    return sorted((n.partition("=")[2], f"{folder}/{n}") for n in names if n.startswith(f"{key}="))
+
+
 def raw_frames(spark: SparkSession, root: str, exchange: str, stream: str, symbols: list[str] | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
-    """Frames of ``root/raw/exchange/stream/symbol=*/date=*``; symbols and days prune partitions, columns a file lacks are null."""
+    """Frames of ``root/raw/exchange/stream/symbol=*/date=*`` with the columns of ``CONTAINER``.
+
+    The schema is given, so no footer is opened to find it: columns a file lacks are null, further
+    ones are not read, and symbols and dates stay text. Symbols and days are chosen by folder name
+    before anything below them is listed. No folder at all gives no rows.
+    """
     base = f"{root}/raw/{exchange}/{stream}"
-    df = spark.read.option("basePath", base).option("mergeSchema", True).option("spark.sql.sources.partitionColumnTypeInference.enabled", False).parquet(base)
-    for c in ("ts_local_ns", "topic", "stream"):
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("long" if c == "ts_local_ns" else "string"))
-    if symbols is not None:
-        df = df.where(F.col("symbol").isin(symbols))
-    if first is not None:
-        df = df.where(F.col("date") >= first)
-    if last is not None:
-        df = df.where(F.col("date") <= last)
-    return df
+    kept = [p for s, p in _children(spark, base, "symbol") if symbols is None or s in symbols]
+    if first is not None or last is not None:
+        kept = [p for k in kept for d, p in _children(spark, k, "date") if (first is None or d >= first) and (last is None or d <= last)]
+    if not kept:
+        return spark.createDataFrame([], CONTAINER)
+    return spark.read.schema(CONTAINER).option("basePath", base).parquet(*kept).select(*[c.split()[0] for c in CONTAINER.split(", ")])
 
 
 def existing(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -42,6 +52,14 @@ def existing(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(*found)
 
 
+def latest_ticks(trades: DataFrame, start_ms: int, end_ms: int, most: int) -> DataFrame:
+    """The first ``most`` trades of each symbol in [start, end) by (ts, trade_key): the bounded window scan."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("symbol").orderBy("ts", "trade_key")
+    return trades.where((F.col("ts") >= start_ms) & (F.col("ts") < end_ms)).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
+
+
 def tabular(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV (with header, strict) or parquet file by its suffix, with exactly the columns of ``schema``."""
     if path.endswith(".csv"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,11 +12,27 @@ from pyspark.sql import functions as F
 Fetcher = Callable[[dict], dict]
 
 
-def pages(fetch: Fetcher, request: dict, most: int = 10_000) -> Iterator[dict]:
-    """Entries of all pages, following ``result.nextPageCursor``; a layout without ``result.list`` is an error."""
+def pages(fetch: Fetcher, request: dict, most: int = 10_000, pause_s: float = 0.0, tries: int = 1, busy: int = 10_006, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
+    """Entries of all pages, following ``result.nextPageCursor``; a layout without ``result.list`` is an error.
+
+    ``pause_s`` lies between requests. An answer with the code ``busy`` (rate limit) or a lost
+    connection is tried again after 1, 2, 4, ... seconds, ``tries`` times in all.
+    """
     cursor: str | None = ""
-    for _ in range(most):
-        page = fetch(request | ({"cursor": cursor} if cursor else {}))
+    for k in range(most):
+        if k and pause_s:
+            sleep(pause_s)
+        for attempt in range(tries):
+            try:
+                page = fetch(request | ({"cursor": cursor} if cursor else {}))
+            except ConnectionError:
+                if attempt + 1 == tries:
+                    raise
+                sleep(2.0**attempt)
+                continue
+            if page.get("retCode", 0) != busy or attempt + 1 == tries:
+                break
+            sleep(2.0**attempt)
         if page.get("retCode", 0) != 0:
             raise OSError(f"the source answered {page.get('retCode')}: {page.get('retMsg')}")
         if not isinstance(page.get("result", {}).get("list"), list):
@@ -27,14 +44,35 @@ def pages(fetch: Fetcher, request: dict, most: int = 10_000) -> Iterator[dict]:
     raise OSError(f"more than {most} pages")
 
 
+def pages_back(fetch: Fetcher, request: dict, start_ms: int, end_ms: int, key: str = "start", most: int = 10_000) -> Iterator[dict]:
+    """Entries of [start, end) of a source that gives the newest first: each request ends where the last page began."""
+    end = end_ms
+    for _ in range(most):
+        page = list(pages(fetch, request | {"end": end}))
+        kept = [e for e in page if start_ms <= int(e[key]) < end]
+        yield from kept
+        if not kept or min(int(e[key]) for e in page) <= start_ms:
+            return
+        end = min(int(e[key]) for e in kept)
+    raise OSError(f"more than {most} pages")
+
+
+def still_to_fetch(requests: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
+    """Requests of a history whose key the manifest does not have as DONE: what makes a backfill safe to repeat."""
+    return requests.join(done.where("status = 'DONE'").select(*key).distinct(), key, "leftanti")
+
+
 def canned(responses: list[dict]) -> Fetcher:
     """A fetcher that gives these responses in turn, for tests without a network."""
     left = list(responses)
     return lambda request: left.pop(0)
 
 
-def paged(requests: DataFrame, fetch: Fetcher, schema: str, row: Callable[[dict, dict], tuple]) -> DataFrame:
-    """One request per row of ``requests``, fetched where the row lies; ``row(request, entry)`` gives a tuple of ``schema``."""
+def paged(requests: DataFrame, fetch: Fetcher, schema: str, row: Callable[[dict, dict], tuple], walk: Callable[[Fetcher, dict], Iterator[dict]] = pages) -> DataFrame:
+    """One request per row of ``requests``, fetched where the row lies; ``row(request, entry)`` gives a tuple of ``schema``.
+
+    ``walk`` goes through the pages of a request: ``pages`` (cursors) or ``pages_back`` (newest first).
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -43,7 +81,7 @@ def paged(requests: DataFrame, fetch: Fetcher, schema: str, row: Callable[[dict,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for request in b.to_pylist():
-                rows = [row(request, e) for e in pages(fetch, request)]
+                rows = [row(request, e) for e in walk(fetch, request)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
