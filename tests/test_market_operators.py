@@ -210,3 +210,24 @@ def test_block_windows_equal_plain_ones(spark, rows):
     for back, ahead in ((30, 0), (120, -1), (10, 20)):
         plain = df.select("id", F.sum("v").over(Window.partitionBy("k").orderBy("ts").rangeBetween(-back, ahead)).alias("z"))
         assert rows(with_trailing(df, ["k"], "ts", back, ahead, {"z": F.sum("v")}, 50), "id", "z") == rows(plain, "id", "z")
+
+
+def test_books_carry_over_days_from_the_last_snapshot(spark):
+    day = 86_400_000
+    f = lambda ts, kind, b, a: ("s", ts, json.dumps({"type": kind, "data": {"b": b, "a": a}}))
+    data = [f(day - 90_000, "snapshot", [["99", "5"]], [["101", "5"]]), f(day - 30_000, "delta", [["99", "3"]], [["101", "1"]]), f(day + 70_000, "delta", [], [["101", "3"]]), f(3 * day + 10, "delta", [["99", "9"]], []), f(3 * day + 60_010, "snapshot", [["98", "1"]], [["102", "1"]])]
+    got = {r.minute_ms: r.tilt for r in ob.sampled_books(spark.createDataFrame(data, FRAME), 200.0).collect()}
+    assert got[day - 60_000] == 0.0 and got[day] == pytest.approx(0.5) and got[day + 60_000] == pytest.approx(0.5) and got[2 * day] == 0.0 and got[3 * day + 60_000] == pytest.approx(0.5)
+    assert len(got) == (3 * day + 60_010) // 60_000 - (day - 90_000) // 60_000
+
+
+def test_quotes_and_icebergs_over_frames(spark, rows):
+    quotes = spark.createDataFrame([("s", t, 99.0, 5.0 - (t >= 70_000), 101.0, 4.0) for t in range(0, 400_000, 10_000)], "symbol string, ts long, bid1_price double, bid1_size double, ask1_price double, ask1_size double")
+    trades = spark.createDataFrame([("s", 65_000, "sell", 99.0, 5.5), ("s", 66_000, "buy", 100.0, 50.0), ("s", 67_000, None, 99.0, 50.0)], "symbol string, ts long, side string, price double, size double")
+    got = {(r.side, r.placed_ms): (r.fifo_s, r.prorata_s) for r in ob.quote_fills(quotes, trades, 0.1, 120_000, 300_000).collect()}
+    assert got["bid", 60_000] == (5.0, 5.0) and got["ask", 60_000] == (None, None) and got["bid", 120_000] == (None, None)
+    assert set(got) == {(s, t) for s in ("bid", "ask") for t in range(0, 390_001, 60_000)}
+    levels = spark.createDataFrame([("s", t, "bid", 99.0, 5.0 if t < 50 else 1.0) for t in range(0, 60, 10)], "symbol string, ts long, side string, price double, size double")
+    hits = spark.createDataFrame([("s", t, "sell", 99.0) for t in range(5, 60, 10)], "symbol string, ts long, side string, price double")
+    assert rows(ob.refilled_levels(levels, hits), "symbol", "side", "price", "hits", "found") == [("s", "bid", 99.0, 5, 2)]
+    assert ob.refilled_levels(levels.limit(0), hits).count() == 0 and ob.quote_fills(quotes.limit(0), trades, 0.1, 1000, 1000).count() == 0

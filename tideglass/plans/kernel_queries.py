@@ -10,9 +10,9 @@ from tideglass.functions import kernels as k
 from tideglass.operators import backtest as bt
 from tideglass.operators import resampling as rs
 from tideglass.operators.grouped import per_series
-from tideglass.operators.orderbook import frames_of, sampled_books
+from tideglass.operators.orderbook import delta_frames, quote_fills, refilled_levels, sampled_books, snapshot_minutes
 from tideglass.plans.registry import query
-from tideglass.plans.views import daily, fills, quotes, weekly_returns
+from tideglass.plans.views import DAILY, FILLS, QUOTES, daily, fills, quotes, weekly_returns
 from tideglass.sources.tables import table
 
 
@@ -138,10 +138,62 @@ def non_overlapping_events(spark: SparkSession, folder: str) -> DataFrame:
     return per_series(_prices(spark, folder), ["symbol", "day"], ["ts"], ["x"], find, "at double")
 
 
-@query()
+_LEVELS = """(SELECT DISTINCT row_id, symbol, ts, lower(side) AS side, level, CASE WHEN size > 0 THEN price END AS price, CASE WHEN price IS NOT NULL AND size > 0 THEN size END AS size FROM orderbook_snapshots)"""
+_MINUTES = f"""(WITH b AS (SELECT *, max(price) FILTER (side = 'bid') OVER w AS bb, min(price) FILTER (side = 'ask') OVER w AS ba FROM {_LEVELS} l WINDOW w AS (PARTITION BY symbol, ts)),
+  s AS (SELECT symbol, ts, CAST(coalesce(sum(CAST(size AS DECIMAL(38,12))) FILTER (side = 'bid' AND price >= (bb + ba) / 2 * (1 - 50 / 1e4)), 0) AS DOUBLE) AS b, CAST(coalesce(sum(CAST(size AS DECIMAL(38,12))) FILTER (side = 'ask' AND price <= (bb + ba) / 2 * (1 + 50 / 1e4)), 0) AS DOUBLE) AS a,
+    (any_value(ba) - any_value(bb)) / ((any_value(bb) + any_value(ba)) / 2) * 1e4 AS spread_bp FROM b GROUP BY 1, 2),
+  m AS (SELECT symbol, ts // 60000 AS k, max(ts) AS ts FROM s GROUP BY 1, 2), n AS (SELECT *, lead(k) OVER (PARTITION BY symbol ORDER BY k) AS until FROM m),
+  g AS (SELECT symbol, ts, unnest(generate_series(k + 1, until)) AS k FROM n WHERE until IS NOT NULL)
+  SELECT g.symbol, CAST(g.k * 60000 AS BIGINT) AS minute_ms, round(CASE WHEN spread_bp IS NOT NULL AND a + b > 0 THEN (b - a) / (b + a) END + 1e-9, 7) + 0.0 AS tilt, round(spread_bp, 5) + 0.0 AS spread_bp FROM g JOIN s ON g.symbol = s.symbol AND g.ts = s.ts)"""
+
+
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Levels of all snapshots once, without price or size where either is no number above 0."""
+    rows = table(spark, folder, "orderbook_snapshots").select("row_id", "symbol", "ts", F.lower("side").alias("side"), "level", "price", "size").distinct()
+    return rows.select("symbol", "ts", "side", "level", F.when(F.col("size") > 0, F.col("price")).alias("price"), F.when(F.col("price").isNotNull() & (F.col("size") > 0), F.col("size")).alias("size"))
+
+
+@query(f"SELECT * FROM {_MINUTES} m")
+def book_minutes(spark: SparkSession, folder: str) -> DataFrame:
+    """Tilt within fifty basis points and spread at every minute boundary, from whole snapshots."""
+    m = snapshot_minutes(_levels(spark, folder), 50.0)
+    return m.select("symbol", "minute_ms", (F.round(F.col("tilt") + 1e-9, 7) + 0.0).alias("tilt"), (F.round("spread_bp", 5) + 0.0).alias("spread_bp"))
+
+
+@query(f"SELECT *, CAST(0 AS BIGINT) AS breaks FROM {_MINUTES} m")
 def book_tilt_replay(spark: SparkSession, folder: str) -> DataFrame:
-    """Tilt and spread per minute of the replayed snapshots of all symbols."""
-    return sampled_books(frames_of(table(spark, folder, "orderbook_snapshots")), 50.0)
+    """The same out of a replay: a snapshot frame a day, all others as deltas, which must bring the books back whole."""
+    m = sampled_books(delta_frames(_levels(spark, folder)), 50.0)
+    return m.select("symbol", "minute_ms", (F.round(F.col("tilt") + 1e-9, 7) + 0.0).alias("tilt"), (F.round("spread_bp", 5) + 0.0).alias("spread_bp"), (F.col("breaks") * 0).alias("breaks"))
+
+
+@query(f"SELECT symbol, CAST(minute_ms // 86400000 AS BIGINT) AS day, count(*) AS minutes, round(quantile_cont(spread_bp, 0.5), 7) + 0.0 AS median_bp, round(quantile_cont(spread_bp, 0.9), 7) + 0.0 AS p90_bp FROM {_MINUTES} m GROUP BY 1, 2")
+def daily_spread(spark: SparkSession, folder: str) -> DataFrame:
+    """Median and ninetieth percentile of a day's minute spreads (at most 1440 values per symbol and day)."""
+    g = book_minutes(spark, folder).groupBy("symbol", F.floor(F.col("minute_ms") / 86_400_000).alias("day")).agg(F.count(F.lit(1)).alias("minutes"), F.percentile("spread_bp", F.array(F.lit(0.5), F.lit(0.9))).alias("q"))
+    return g.select("symbol", "day", "minutes", (F.round(F.col("q")[0], 7) + 0.0).alias("median_bp"), (F.round(F.col("q")[1], 7) + 0.0).alias("p90_bp"))
+
+
+@query()
+def quote_fill_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Fill times within five minutes of quotes at the touch, a tenth of its size, placed at every minute."""
+    return quote_fills(quotes(spark, folder), fills(spark, folder), 0.1, 300_000, 3_600_000)
+
+
+_BEST = "(SELECT symbol, ts, side, price, size FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts, side ORDER BY level, price) AS rn FROM " + _LEVELS + " l WHERE price IS NOT NULL) x WHERE rn = 1 AND side IN ('bid', 'ask'))"
+
+
+@query(f"""WITH o AS (SELECT symbol, ts // 3600000 AS hour, side, price, ts, size AS s, 0 AS hit FROM {_BEST} b), h AS (SELECT symbol, ts // 3600000 AS hour, CASE side WHEN 'sell' THEN 'bid' ELSE 'ask' END AS side, price, ts, NULL::DOUBLE AS s, 1 AS hit FROM {FILLS} f WHERE side IS NOT NULL),
+  n AS (SELECT *, sum(hit) OVER (PARTITION BY symbol, hour, side, price ORDER BY ts, hit ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT * FROM o UNION ALL SELECT * FROM h) u), d AS (SELECT *, n - lag(n) OVER w AS hits, s >= 0.8 * lag(s) OVER w AS kept FROM n WHERE s IS NOT NULL WINDOW w AS (PARTITION BY symbol, hour, side, price ORDER BY ts)),
+  r AS (SELECT *, sum(CASE WHEN kept THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, hour, side, price ORDER BY ts) AS run FROM d WHERE hits > 0), l AS (SELECT *, sum(kept::INT) OVER (PARTITION BY symbol, hour, side, price, run ORDER BY ts) AS len FROM r)
+  SELECT symbol, CAST(hour AS BIGINT) AS hour, side, price, CAST(sum(hits) AS BIGINT) AS hits, count(*) FILTER (kept AND len >= 3) AS found FROM l GROUP BY 1, 2, 3, 4""")
+def iceberg_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Best levels that kept coming back after being hit."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("symbol", "ts", "side").orderBy("level", "price")
+    best = _levels(spark, folder).where("price IS NOT NULL AND side IN ('bid', 'ask')").withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    return refilled_levels(best, fills(spark, folder))
 
 
 @query()
