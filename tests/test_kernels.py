@@ -134,3 +134,26 @@ def test_sequential_rules():
     assert k.thinned(np.array([0, 5, 10, 14, 20.0]), 10).tolist() == [True, False, True, False, True]
     r = np.array([np.nan, 1, -1, 2, -2, 3.0])
     assert k.causal_mad(r, 60, 3)[5] == pytest.approx(1.4826 * np.median(np.abs(np.array([1, -1, 2, -2.0]))))
+
+
+def test_regimes_know_the_past_only():
+    x = np.concatenate([RNG.standard_normal(300) * 0.2, RNG.standard_normal(300) * 2, RNG.standard_normal(300) * 0.2])
+    p = k.two_state_filter(x)
+    assert np.isnan(p[:50]).all() and np.isfinite(p[50:]).all()
+    assert np.allclose(k.two_state_filter(np.concatenate([x[:500], np.full(400, 50.0)]))[50:500], p[50:500])
+    narrow, wide, stay = k.fitted_regimes(x)
+    assert narrow == pytest.approx(0.2, rel=0.2) and wide == pytest.approx(2, rel=0.2) and stay > 0.98
+    assert p[700:].mean() < 0.1 and k.two_state_filter(np.zeros(120))[60:].max() < 0.5
+
+
+def test_spread_before_each_value_and_windows():
+    x = RNG.standard_normal(40)
+    sd = k.expanding_spread(x)
+    assert sd[20] == pytest.approx(x[:20].std()) and (sd[:5] == sd[0]).all() and (k.expanding_spread(np.zeros(9)) == 1).all()
+    assert [(s, len(w)) for s, w in k.windows(np.arange(25), 10, 6)] == [(0, 10), (10, 15)] and [len(w) for _, w in k.windows(np.arange(27), 10, 6)] == [10, 10, 7]
+    assert sum(len(w) for _, w in k.windows(np.arange(3), 10, 6)) == 3
+
+
+def test_chi_squared_tails_of_odd_and_even_degrees():
+    for x, df in ((3.841459, 1), (5.991465, 2), (7.814728, 3), (9.487729, 4), (24.9958, 15)):
+        assert k.chi2_tail(x, df) == pytest.approx(0.05, abs=1e-5)

@@ -21,32 +21,14 @@ def normal_quantile(p: float) -> float:
 
 
 def chi2_tail(x: float, df: int) -> float:
-    """Upper tail of the chi-squared distribution: one minus the regularised lower incomplete gamma function."""
+    """Upper tail of the chi-squared distribution with whole degrees of freedom, by its finite sum upwards from one or two of them."""
     if x <= 0:
         return 1.0
-    a, z = df / 2, x / 2
-    log_front = a * math.log(z) - z - math.lgamma(a)
-    if z < a + 1:
-        term = total = 1 / a
-        k = a
-        while abs(term) > 1e-15 * abs(total):
-            k += 1
-            term *= z / k
-            total += term
-        return max(0.0, 1 - total * math.exp(log_front))
-    tiny = 1e-300
-    b = z + 1 - a
-    c, d = 1 / tiny, 1 / b
-    h = d
-    for i in range(1, 1000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b or tiny)
-        c = b + an / c or tiny
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return min(1.0, math.exp(log_front) * h)
+    half = x / 2
+    tail = math.erfc(math.sqrt(half)) if df % 2 else math.exp(-half)
+    for d in range(1 if df % 2 else 2, df, 2):
+        tail += math.exp(d / 2 * math.log(half) - half - math.lgamma(d / 2 + 1))
+    return min(1.0, tail)
 
 
 def black76(forward, strike, vol, years, call=True):
@@ -180,19 +162,78 @@ def changepoint_probability(x: np.ndarray, hazard: float = 1 / 100) -> np.ndarra
     return out
 
 
-def two_state_filter(x: np.ndarray, stay: float = 0.98) -> np.ndarray:
-    """Filtered probability of the wide state of a two-state Gaussian hidden Markov model (half and double the spread)."""
-    sd = x.std() or 1.0
-    dens = np.stack([np.exp(-0.5 * (x / (sd * k)) ** 2) / (sd * k) for k in (0.5, 2.0)], axis=1) + 1e-300
-    p, out = np.array([0.5, 0.5]), np.empty(len(x))
-    turn = np.array([[stay, 1 - stay], [1 - stay, stay]])
-    for i, d in enumerate(dens):
-        p = (p @ turn) * d
-        p /= p.sum()
-        out[i] = p[1]
+def _regime_pass(x: list[float], narrow: float, wide: float, stay: float) -> tuple[list[float], list[float], float, float]:
+    """Forward and backward pass of the two-state chain: filtered and smoothed weight of the wide state, and how often it was kept or left."""
+    a, b = 1 / narrow, 1 / wide
+    like = [(a * math.exp(-0.5 * (v * a) ** 2) + 1e-300, b * math.exp(-0.5 * (v * b) ** 2) + 1e-300) for v in x]
+    p, filtered, ahead = 0.5, [], []
+    for n, w in like:
+        prior = p * stay + (1 - p) * (1 - stay)
+        ahead.append(prior)
+        up, down = prior * w, (1 - prior) * n
+        p = up / (up + down)
+        filtered.append(p)
+    smooth, same = filtered[:], 0.0
+    for i in range(len(x) - 2, -1, -1):
+        f, prior = filtered[i], ahead[i + 1]
+        up = f * stay * smooth[i + 1] / prior
+        down = f * (1 - stay) * (1 - smooth[i + 1]) / (1 - prior)
+        smooth[i] = up + down
+        same += up + (1 - f) * stay * (1 - smooth[i + 1]) / (1 - prior)
+    return filtered, smooth, same, p
+
+
+def fitted_regimes(x: np.ndarray, rounds: int = 8) -> tuple[float, float, float]:
+    """Spreads of the narrow and the wide state and the chance to stay, by expectation-maximisation; the wide one is at least twice the narrow."""
+    v = np.asarray(x, float)
+    square = v * v
+    narrow = max(float(np.median(np.abs(v))) * 1.4826, 1e-12)
+    wide, stay = max(2 * narrow, 2 * float(v.std())), 0.98
+    for _ in range(rounds):
+        _, smooth, same, _ = _regime_pass(v.tolist(), narrow, wide, stay)
+        g = np.array(smooth)
+        narrow = max(math.sqrt(((1 - g) * square).sum() / max((1 - g).sum(), 1e-9)), 1e-12)
+        wide = max(math.sqrt((g * square).sum() / max(g.sum(), 1e-9)), 2 * narrow)
+        stay = min(max((same + 49) / (len(v) - 1 + 50), 0.8), 0.999)
+    return narrow, wide, stay
+
+
+def two_state_filter(x: np.ndarray, first: int = 50) -> np.ndarray:
+    """Filtered probability of the wide state of a two-state Gaussian hidden Markov model, from what was known at each point only.
+
+    The model is fitted on the first ``first`` values when they are in, and again on all values so far
+    whenever their number has doubled. Before the first fit the probability is unknown (NaN). A series
+    without movement is all narrow.
+    """
+    out = np.full(len(x), np.nan)
+    v = np.where(np.isfinite(x), x, 0.0)
+    at = first
+    while at < len(v):
+        narrow, wide, stay = fitted_regimes(v[:at]) if np.abs(v[:at]).max() > 0 else (1.0, 2.0, 0.98)
+        upto = min(2 * at, len(v))
+        out[at:upto] = _regime_pass(v[:upto].tolist(), narrow, wide, stay)[0][at:]
+        at = upto
     return out
 
 
+def expanding_spread(x: np.ndarray, least: int = 5) -> np.ndarray:
+    """Standard deviation of all values before each one; that of the first ``least`` for these, 1 where there is none."""
+    n = np.arange(1, len(x) + 1)
+    m, s = np.cumsum(x) / n, np.cumsum(x * x) / n
+    sd = np.sqrt(np.maximum(s - m * m, 0.0))
+    out = np.concatenate([[0.0], sd[:-1]])
+    out[:least] = sd[min(least, len(x)) - 1]
+    return np.where(out > 1e-12, out, 1.0)
+
+
+def windows(x: np.ndarray, size: int, least: int) -> list[tuple[int, np.ndarray]]:
+    """(start, values) of consecutive windows of ``size``; a last one of fewer than ``least`` values is joined to the one before."""
+    starts = list(range(0, len(x), size))
+    if len(starts) > 1 and len(x) - starts[-1] < least:
+        starts.pop()
+    return [(s, x[s : (starts[i + 1] if i + 1 < len(starts) else len(x))]) for i, s in enumerate(starts)]
+
+
 def kalman_level(x: np.ndarray, dt: np.ndarray, phi: float = 0.99, q: float = 1e-3, r: float = 1e-2) -> np.ndarray:
     """Filtered mean-reverting level with drift; transition and noise scale with the time step."""
     s, p = np.zeros(2), np.eye(2)

@@ -25,28 +25,41 @@ def _prices(spark: SparkSession, folder: str) -> DataFrame:
     return quotes(spark, folder).where("mark_price > 0").select("symbol", "day", "ts", F.ln("mark_price").alias("x"))
 
 
-def _series(name: str, f, frame: str = "closes"):
+def _series(name: str, f, frame: str = "closes", sql: str | None = None, digits: int | None = None):
     """Register a kernel on the daily closes (per symbol) or the marks (per symbol and day): one value per reading."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
+        kernel = lambda t, x: {"at": t, "value": f(t, x)}
         if frame == "closes":
-            return per_series(_closes(spark, folder), ["symbol"], ["day_no"], ["x"], lambda t, x: {"at": t, "value": f(t, x)}, "at double, value double")
-        return per_series(_prices(spark, folder), ["symbol", "day"], ["ts"], ["x"], lambda t, x: {"at": t, "value": f(t, x)}, "at double, value double")
+            out = per_series(_closes(spark, folder), ["symbol"], ["day_no"], ["x"], kernel, "at double, value double")
+        else:
+            out = per_series(_prices(spark, folder), ["symbol", "day"], ["ts"], ["x"], kernel, "at double, value double")
+        return out if digits is None else out.withColumn("value", F.round("value", digits) + 0.0)
 
     run.__name__ = name
-    query()(run)
-
-
+    query(sql)(run)
+
+
+_RETURN = f"(SELECT symbol, day_no, ln(close) AS x, ln(close) - coalesce(lag(ln(close)) OVER (PARTITION BY symbol ORDER BY day_no), ln(close)) AS r FROM {DAILY} d)"
+_MAD = f"""WITH w AS (SELECT symbol, day_no, list(r) OVER (PARTITION BY symbol ORDER BY day_no ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS v FROM {_RETURN} r), m AS (SELECT *, list_aggregate(v, 'median') AS m FROM w)
+  SELECT symbol, CAST(day_no AS DOUBLE) AS at, round(CASE WHEN len(v) >= 20 THEN 1.4826 * list_aggregate(list_transform(v, lambda x: abs(x - m)), 'median') END, 8) + 0.0 AS value FROM m"""
+_FFD = f"""WITH RECURSIVE w AS (SELECT 0 AS k, CAST(1.0 AS DOUBLE) AS w UNION ALL SELECT k + 1, -w * (0.4 - (k + 1) + 1) / (k + 1) FROM w WHERE abs(-w * (0.4 - (k + 1) + 1) / (k + 1)) >= 1e-4),
+  s AS (SELECT symbol, day_no, x, row_number() OVER (PARTITION BY symbol ORDER BY day_no) AS i FROM {_RETURN} r)
+  SELECT a.symbol, CAST(a.day_no AS DOUBLE) AS at, round(CASE WHEN a.i >= (SELECT count(*) FROM w) THEN sum(w.w * b.x) END, 7) + 0.0 AS value FROM s a JOIN w ON true LEFT JOIN s b ON b.symbol = a.symbol AND b.i = a.i - w.k GROUP BY a.symbol, a.day_no, a.i"""
+_THROTTLED = f"""WITH RECURSIVE q AS (SELECT symbol, CAST(ts // 86400000 AS BIGINT) AS day, ts FROM {QUOTES} q WHERE mark_price > 0),
+  n AS (SELECT a.symbol, a.day, a.ts, min(b.ts) AS nxt FROM q a LEFT JOIN q b ON a.symbol = b.symbol AND a.day = b.day AND b.ts >= a.ts + 60000 GROUP BY 1, 2, 3),
+  k AS (SELECT symbol, day, min(ts) AS ts FROM q GROUP BY 1, 2 UNION ALL SELECT n.symbol, n.day, n.nxt FROM k JOIN n ON n.symbol = k.symbol AND n.day = k.day AND n.ts = k.ts WHERE n.nxt IS NOT NULL)
+  SELECT q.symbol, q.day, CAST(q.ts AS DOUBLE) AS at, CASE WHEN k.ts IS NULL THEN 0.0 ELSE 1.0 END AS value FROM q LEFT JOIN k ON q.symbol = k.symbol AND q.day = k.day AND q.ts = k.ts"""
 _ret = lambda x: np.diff(x, prepend=x[:1])
 _series("rolling_permutation_entropy", lambda t, x: k.rolling_permutation_entropy(x, 30, 3))
-_series("changepoints", lambda t, x: k.changepoint_probability(_ret(x) / (np.std(_ret(x)) or 1.0)))
+_series("changepoints", lambda t, x: k.changepoint_probability(_ret(x) / k.expanding_spread(_ret(x))))
 _series("regime_probability", lambda t, x: k.two_state_filter(_ret(x)), "marks")
 _series("kalman_premium", lambda t, x: k.kalman_level(x - x[0], np.maximum(np.diff(t, prepend=t[:1]) / 60_000, 0)), "marks")
-_series("fractional_difference", lambda t, x: k.fractional_difference(x))
+_series("fractional_difference", lambda t, x: k.fractional_difference(x), sql=_FFD, digits=7)
 _series("wavelet_denoised", lambda t, x: k.haar_denoised(x), "marks")
-_series("causal_mad_scale", lambda t, x: k.causal_mad(_ret(x)))
+_series("causal_mad_scale", lambda t, x: k.causal_mad(_ret(x)), sql=_MAD, digits=8)
 _series("har_forecast", lambda t, x: k.har_forecast(_ret(x) ** 2 + 1e-12))
-_series("throttled_evaluation", lambda t, x: k.thinned(t, 60_000).astype(float), "marks")
+_series("throttled_evaluation", lambda t, x: k.thinned(t, 60_000).astype(float), "marks", _THROTTLED)
 
 
 def _scalar(name: str, f, schema: str):
@@ -59,16 +72,30 @@ def _scalar(name: str, f, schema: str):
     query()(run)
 
 
-_scalar("recurrence_measures", lambda r: k.recurrence(r, np.std(r) * 0.5), "rate double, determinism double, laminarity double")
+def _windows(name: str, f, schema: str, size: int = 256, least: int = 30):
+    """Register a kernel whose work grows with the square of its input on consecutive windows of the daily returns: one row per window, all days in one."""
+
+    def over(t, x):
+        rows = [{"window_start": t[s], **f(r)} for s, r in k.windows(_ret(x), size, least)] if len(x) >= least else None
+        return {n: [r[n] for r in rows] for n in rows[0]} if rows else None
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return per_series(_closes(spark, folder), ["symbol"], ["day_no"], ["x"], over, f"window_start double, {schema}")
+
+    run.__name__ = name
+    query()(run)
+
+
+_windows("recurrence_measures", lambda r: k.recurrence(r, np.std(r) * 0.5), "rate double, determinism double, laminarity double")
 _scalar("multifractal", lambda r: {f"h_{n}": v for n, v in zip(("neg2", "0", "2"), k.generalised_hurst(r).values(), strict=True)}, "h_neg2 double, h_0 double, h_2 double")
-_scalar("component_persistence", lambda r: {"longest": k.persistence_lengths(np.stack([r[:-1], r[1:]], 1))[0]}, "longest double")
+_windows("component_persistence", lambda r: {"longest": k.persistence_lengths(np.stack([r[:-1], r[1:]], 1))[0]}, "longest double")
 _scalar("cfar_peaks", lambda r: {"bin": [p for p, _ in k.cell_average_peaks(np.abs(np.fft.rfft(r)) ** 2)], "ratio": [v for _, v in k.cell_average_peaks(np.abs(np.fft.rfft(r)) ** 2)]}, "bin int, ratio double")
 _scalar("cyclic_features", lambda r: {"peak": float(k.cyclic_spectrum(r)[1:].max(initial=0.0))}, "peak double")
 _scalar("tail_fit", lambda r: dict(zip(("xi_pwm", "beta_pwm", "xi_mle", "beta_mle"), (*k.gpd_moments(_excess(r)), *k.gpd_likelihood(_excess(r))), strict=True)), "xi_pwm double, beta_pwm double, xi_mle double, beta_mle double")
 _scalar("sax_word", lambda r: {"word": k.sax(np.cumsum(r), 16, 6), "self_score": k.local_alignment(k.sax(np.cumsum(r), 16, 6), k.sax(np.cumsum(r[::-1]), 16, 6))}, "word string, self_score double")
 _scalar("markov_entropy", lambda r: {"cross_entropy": k.markov_cross_entropy((r[: len(r) // 2] > 0).astype(int), (r[len(r) // 2 :] > 0).astype(int), 2)}, "cross_entropy double")
 _scalar("surrogate_asymmetry", lambda r: {"observed": float((r**3).mean()), "surrogate": float((np.diff(k.phase_surrogate(r, np.random.default_rng(7))) ** 3).mean())}, "observed double, surrogate double")
-_scalar("analog_crps", lambda r: _analog(r), "crps double, n int")
+_windows("analog_crps", lambda r: _analog(r), "crps double, n int")
 _scalar("aftershocks", lambda r: dict(zip(("k", "c", "p"), k.omori(np.flatnonzero(np.abs(r) > 1.5 * r.std()).astype(float)), strict=True)), "k double, c double, p double")
 
 
