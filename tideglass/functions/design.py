@@ -48,3 +48,26 @@ def gate(conditions: dict[str, Column]) -> Column:
     for c in conditions.values():
         out = out & F.coalesce(c, F.lit(False))
     return out
+
+
+def obrien_fleming(alpha: float, looks: int, points: int = 2001) -> list[float]:
+    """Two-sided critical values of equally spaced looks that are c / sqrt(share of the data), for a total error of ``alpha``.
+
+    The chance to have passed no bound yet is carried from look to look on a grid of the sum's density.
+    """
+    grid = np.linspace(-8 * math.sqrt(looks), 8 * math.sqrt(looks), points)
+    step = grid[1] - grid[0]
+    kernel = np.exp(-0.5 * (grid[:, None] - grid[None]) ** 2) / math.sqrt(2 * math.pi) * step
+
+    def passed(c: float) -> float:
+        inside = np.abs(grid) < c * math.sqrt(looks)
+        density = np.exp(-0.5 * grid**2) / math.sqrt(2 * math.pi) * inside
+        for _ in range(looks - 1):
+            density = (kernel @ density) * inside
+        return 1 - density.sum() * step
+
+    lo, hi = 1.0, 6.0
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if passed(mid) > alpha else (lo, mid)
+    return [hi * math.sqrt(looks / k) for k in range(1, looks + 1)]

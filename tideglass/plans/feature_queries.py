@@ -223,16 +223,3 @@ def fill_curves(spark: SparkSession, folder: str) -> DataFrame:
     d = x.select(F.col("o_orderpriority").alias("symbol"), F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")).alias("d"))
     shares = d.groupBy("symbol").agg(*[F.round(F.avg(F.when(F.col("d") <= t, 1.0).otherwise(0.0)), 8).alias(str(t)) for t in (10, 30, 60, 90)])
     return shares.select("symbol", F.explode(F.array(*[F.struct(F.lit(t).alias("seconds"), F.col(str(t)).alias("filled")) for t in (10, 30, 60, 90)])).alias("x")).select("symbol", "x.seconds", "x.filled")
-
-
-@query()
-def har_regression(spark: SparkSession, folder: str) -> DataFrame:
-    """Next day's log variance on the day's, week's and month's, one linear model over all series (MLlib), with its forecasts."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    r = daily(spark, folder).withColumn("r", F.ln("close") - F.ln(F.lag("close").over(_day()))).withColumn("lv", F.ln(F.col("r") * F.col("r") + 1e-6)).where("r IS NOT NULL")
-    x = r.withColumn("d", F.col("lv")).withColumn("w", F.avg("lv").over(_day().rowsBetween(-4, 0))).withColumn("m", F.avg("lv").over(_day().rowsBetween(-21, 0))).withColumn("label", F.lead("lv").over(_day()))
-    v = VectorAssembler(inputCols=["d", "w", "m"], outputCol="features").transform(x)
-    model = LinearRegression(regParam=0.0, solver="normal").fit(v.where("label IS NOT NULL"))
-    return model.transform(v).select("symbol", "day_no", F.round("prediction", 6).alias("forecast"))

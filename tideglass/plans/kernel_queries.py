@@ -49,7 +49,7 @@ _FFD = f"""WITH RECURSIVE w AS (SELECT 0 AS k, CAST(1.0 AS DOUBLE) AS w UNION AL
 _THROTTLED = f"""WITH RECURSIVE q AS (SELECT symbol, CAST(ts // 86400000 AS BIGINT) AS day, ts FROM {QUOTES} q WHERE mark_price > 0),
   n AS (SELECT a.symbol, a.day, a.ts, min(b.ts) AS nxt FROM q a LEFT JOIN q b ON a.symbol = b.symbol AND a.day = b.day AND b.ts >= a.ts + 60000 GROUP BY 1, 2, 3),
   k AS (SELECT symbol, day, min(ts) AS ts FROM q GROUP BY 1, 2 UNION ALL SELECT n.symbol, n.day, n.nxt FROM k JOIN n ON n.symbol = k.symbol AND n.day = k.day AND n.ts = k.ts WHERE n.nxt IS NOT NULL)
-  SELECT q.symbol, q.day, CAST(q.ts AS DOUBLE) AS at, CASE WHEN k.ts IS NULL THEN 0.0 ELSE 1.0 END AS value FROM q LEFT JOIN k ON q.symbol = k.symbol AND q.day = k.day AND q.ts = k.ts"""
+  SELECT q.symbol, q.day, CAST(q.ts AS DOUBLE) AS at, CAST(k.ts IS NOT NULL AS DOUBLE) AS value FROM q LEFT JOIN k ON q.symbol = k.symbol AND q.day = k.day AND q.ts = k.ts"""
 _ret = lambda x: np.diff(x, prepend=x[:1])
 _series("rolling_permutation_entropy", lambda t, x: k.rolling_permutation_entropy(x, 30, 3))
 _series("changepoints", lambda t, x: k.changepoint_probability(_ret(x) / k.expanding_spread(_ret(x))))
