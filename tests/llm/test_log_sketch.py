@@ -52,3 +52,14 @@ def test_empty(spark):
 def test_error_must_be_a_share():
     with pytest.raises(ValueError):
         LogBuckets(0)
+
+
+def test_ranks_are_exact_where_products_of_doubles_are_not(spark):
+    from pyspark.sql import functions as F
+
+    from tideglass.llm.log_sketch import exact_rank
+
+    ns = [1, 7, 10, 100, 1000, 3000, 10**12, 10**15]
+    row = spark.range(1).select(*[exact_rank(F.lit(n), p).alias(f"{n}_{p}".replace(".", "_")) for n in ns for p in (0.5, 0.9, 0.99, 0.999)]).first()
+    want = [-(-n * m // 1000) for n in ns for m in (500, 900, 990, 999)]
+    assert list(row) == want

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exact_rank(n: Column, p: float) -> Column:
+    """ceil(p * n) in whole numbers: a product of doubles may land just above a whole number and give the next rank."""
+    millionths = round(p * 1_000_000)
+    return F.ceil(n.cast("decimal(20,0)") * F.lit(Decimal(millionths)).cast("decimal(7,0)") / F.lit(Decimal(1_000_000)).cast("decimal(7,0)")).cast("long")
+
+
 class LogBuckets:
     """Signed logarithmic buckets: values of one bucket lie within ``error`` of its representative.
 
@@ -54,7 +61,7 @@ class LogBuckets:
     def percentiles(self, sketches: DataFrame, group: list[str], at: dict[str, float]) -> DataFrame:
         """Per ``group`` and ``field``: count ``n``, a column per entry of ``at``, and ``rel_error``.
 
-        The value for p is that of rank ceil(p * n) in rising order, at most ``rel_error`` away
+        The value for p is that of rank ceil(p * n) in rising order (p to six decimals, exactly), at most ``rel_error`` away
         relative to itself. The window runs over the buckets of a group, whose number is bounded by
         the range of a double and not by the rows. A group without values has no row.
         """
@@ -69,6 +76,6 @@ class LogBuckets:
             .withColumn("_order", order)
         )
         picks = [
-            F.min_by("_value", F.when(F.col("_upto") >= F.ceil(F.col("_total") * p), F.col("_order"))).alias(name) for name, p in at.items()
+            F.min_by("_value", F.when(F.col("_upto") >= exact_rank(F.col("_total"), p), F.col("_order"))).alias(name) for name, p in at.items()
         ]
         return ranked.groupBy(*by).agg(F.sum("n").alias("n"), *picks).withColumn("rel_error", F.lit(self.error))
