@@ -74,3 +74,8 @@ def test_rates_stay_between_zero_and_cap():
     r.steps = [np.array([-5.0, 2.0]), np.array([1.0, -0.5])]
     x = r.of(np.array([[1.0, 0], [0, 1.0], [0.5, 0.5]]), np.array([2.0, 1.0, 1.0]))
     assert x.tolist() == [1.0, 0.5, 0.75]
+
+
+def test_the_fit_says_how_settled_it_is(spark):
+    sel, _ = mix(spark, corpus({"a": 200, "b": 100}, none=40), [("a", 0.5, 1), ("b", 0.5, 3)])
+    assert len({r.unsettled for r in sel}) == 1 and sel[0].unsettled <= 1e-5

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ BUCKETS = 1 << 13
 PER_SOURCE = 400
 #: Parts of the hash range in which the rounding of rates is settled.
 SLOTS = 4096
-STEPS, CLOSE = 25, 1e-5
+STEPS, CLOSE = 100, 1e-5
 
 
 def marks(text: str) -> np.ndarray:
@@ -112,18 +113,17 @@ class Rates:
 
 
 def _membership(batch: pa.RecordBatch, sources: list[str]) -> np.ndarray:
-    place = {s: k for k, s in enumerate(sources)}
+    """Certain members of their named source; the posterior where there is none."""
+    codes = pc.index_in(batch.column("source"), value_set=pa.array(sources, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
     out = np.zeros((batch.num_rows, len(sources)))
-    for i, (s, p) in enumerate(zip(batch.column("source").to_pylist(), batch.column("posterior").to_pylist(), strict=True)):
-        if s is not None:
-            out[i, place[s]] = 1.0
-        else:
-            out[i] = p
+    named = np.flatnonzero(codes >= 0)
+    out[named, codes[named]] = 1.0
+    out[codes < 0] = batch.column("posterior").flatten().to_numpy().reshape(-1, len(sources))
     return out
 
 
 def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Documents to use, with copies: doc_id, source, source_is_predicted, tokens, copies, rate, target_share, reached_share.
+    """Documents to use, with copies: doc_id, source, source_is_predicted, tokens, copies, rate, target_share, reached_share, unsettled.
 
     Sizes are tokens of the vocabulary over whole texts. A record of a named source belongs to it; a
     record without source has the posterior of a classifier fitted on the named ones (soft
@@ -138,7 +138,8 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None =
     as many, in hash order, get one more as still fit into the source's tokens (and again while the cap allows it and
     tokens are left, as where one long document fits nowhere; within a 4096th of the source). The table of such slots that is broadcast has
     at most 4096 rows per source. ``reached_share`` counts the copies chosen, by named
-    or most likely source.
+    or most likely source. ``unsettled`` is by how much of the goal the expected tokens of a source
+    still moved in the last step: at most ``CLOSE`` where the fit has converged within ``STEPS``.
 
     Records of sources without a target, and null, empty texts, are not used. Sources are not
     tasks: documents stay where they are read, and what returns to the driver is a few numbers per
@@ -148,7 +149,7 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None =
     goals = {r.source: (r.target_share, r.max_repeats) for r in targets.where("source IS NOT NULL AND target_share > 0").collect()}
     sources = sorted(goals)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, source string, source_is_predicted boolean, tokens long, copies int, rate double, target_share double, reached_share double"
+    out = f"doc_id {kind}, source string, source_is_predicted boolean, tokens long, copies int, rate double, target_share double, reached_share double, unsettled double"
     if not sources:
         return spark.createDataFrame([], out)
     usable = documents.select("doc_id", "text", "source").where((F.length("text") > 0) & (F.col("source").isNull() | F.col("source").isin(sources)))
@@ -171,6 +172,11 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None =
 
     members = written(usable.mapInArrow(measure, f"doc_id {kind}, source string, tokens long, posterior array<double>"), shared_folder(spark)).where("tokens > 0")
 
+    # named records of a source are alike: their tokens are summed once, only open records are passed over in each step
+    certain = {r.source: r.tokens for r in members.where("source IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+    held, one_each = np.array([float(certain.get(s, 0)) for s in sources]), np.eye(len(sources))
+    unnamed = members.where("source IS NULL")
+
     def totals(rates: Rates, capped: bool = False) -> np.ndarray:
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(sources))
@@ -180,7 +186,8 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None =
                 total += (t * (cap if capped else rates.of(p, cap))) @ p
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["t"])
 
-        return np.sum([r.t for r in members.mapInArrow(kernel, "t array<double>").collect()] or [np.zeros(len(sources))], axis=0)
+        open_part = np.sum([r.t for r in unnamed.mapInArrow(kernel, "t array<double>").collect()] or [np.zeros(len(sources))], axis=0)
+        return open_part + held * (caps if capped else rates.of(one_each, caps))
 
     everything = Rates()
     everything.steps = [np.full(len(sources), -1.0)]
@@ -192,11 +199,12 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None =
     aim = np.where(has, target, 0.0) / target[has].sum()
     wanted = total_tokens if total_tokens is not None else float((within[has] / aim[has]).min())
     rates = Rates()
-    expected = np.zeros(len(sources))
+    expected, unsettled = np.zeros(len(sources)), np.inf
     for _ in range(STEPS):
         rates.steps.append(np.where(has, (expected - wanted * aim) / np.where(has, available, 1.0), 0.0))
         before, expected = expected, totals(rates)
-        if np.abs(expected - before).max() <= CLOSE * wanted:
+        unsettled = float(np.abs(expected - before).max() / wanted)
+        if unsettled <= CLOSE:
             break
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +247,7 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None =
     shares = F.create_map(*[x for s in sources for x in (F.lit(s), F.lit(reached.get(s, 0) / whole))])
     goal = F.create_map(*[x for s in sources for x in (F.lit(s), F.lit(float(goals[s][0])))])
     return chosen.select(
-        "doc_id", "source", "source_is_predicted", "tokens", "copies", F.round("rate", 6).alias("rate"), goal[F.col("source")].alias("target_share"), shares[F.col("source")].alias("reached_share")
+        "doc_id", "source", "source_is_predicted", "tokens", "copies", F.round("rate", 6).alias("rate"), goal[F.col("source")].alias("target_share"), shares[F.col("source")].alias("reached_share"), F.lit(unsettled).alias("unsettled")
     )
 
 

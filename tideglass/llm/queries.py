@@ -74,6 +74,16 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(p9_selection(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Per target: whether its source has text, the selection keeps its cap on repeats and its share lies within 0.01 of the target spread over sources with text."""
+    documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
+    with_text = documents.where("length(text) > 0 AND source IS NOT NULL").select("source").distinct().withColumn("has_text", F.lit(True))
+    s = shares(mixed(documents, targets), targets).join(with_text, "source", "left").withColumn("has_text", F.coalesce("has_text", F.lit(False)))
+    spread = s.agg(F.sum(F.when(F.col("has_text"), F.col("target_share"))).alias("all")).first()["all"] or 1.0
+    aim = F.when(F.col("has_text"), F.col("target_share") / spread).otherwise(0.0)
+    return s.select("source", "has_text", (F.col("most_copies") <= F.coalesce("max_repeats", F.lit(1))).alias("within_cap"), (F.abs(F.col("reached_share") - aim) <= 0.01).alias("near_target"))
+
+
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     names = sorted(r.subject for r in table(spark, folder, "subjects").select("subject").distinct().collect())
@@ -90,7 +100,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
     return _subjects(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p6_percentiles, p6_daily_sketches, p8_ids, p9_selection, p9_shares, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p6_percentiles, p6_daily_sketches, p8_ids, p9_selection, p9_shares, p9_kept, p10_found, p10_composition)}
 
 _BIDS = """SELECT tick_id, any_value(symbol) AS symbol, CASE WHEN any_value(ts) <> 0 THEN any_value(ts)
   ELSE CAST(floor(min(recv_ts) * 1000) AS BIGINT) END AS bt FROM tickers WHERE bid1_price IS NOT NULL GROUP BY tick_id"""
@@ -106,6 +116,7 @@ _SKETCH = f"""SELECT symbol, day_ms, field, CAST(sign(v) AS INTEGER) AS sign, {_
 _FILLS = "WITH f AS (SELECT DISTINCT trade_id, symbol, ts - ts % 86400000 AS day_ms, price, volume FROM trades)"
 
 ORACLE = {
+    "p9_kept": "SELECT source, source IN (SELECT source FROM documents WHERE length(text) > 0 AND source IS NOT NULL) AS has_text, true AS within_cap, true AS near_target FROM mix_targets WHERE source IS NOT NULL",
     "p3_pairs": _PAIRS,
     "p3_found": f"SELECT tick_id, trade_id FROM ({_PAIRS}) p",
     "p6_daily_sketches": f"{_FILLS} {_SKETCH}",
@@ -114,6 +125,6 @@ ORACLE = {
   r AS (SELECT *, sum(n) OVER (PARTITION BY symbol, day_ms, whole, field ORDER BY sign, sign * bucket) AS upto, sum(n) OVER (PARTITION BY symbol, day_ms, whole, field) AS total,
     sign * pow({BUCKETS.gamma!r}, bucket) * {2 / (BUCKETS.gamma + 1)!r} AS value FROM m)
   SELECT symbol, day_ms, field, CAST(max(total) AS BIGINT) AS n,
-    {", ".join(f"round(arg_min(value, upto) FILTER (upto >= ceil(total * CAST({p} AS DOUBLE))), 6) AS {name}" for name, p in PERCENTILES.items())},
+    {", ".join(f"round(arg_min(value, upto) FILTER (upto >= (CAST(total AS HUGEINT) * {round(p * 1_000_000)} + 999999) // 1000000), 6) AS {name}" for name, p in PERCENTILES.items())},
     CAST({BUCKETS.error} AS DOUBLE) AS rel_error FROM r GROUP BY symbol, day_ms, whole, field""",
 }
