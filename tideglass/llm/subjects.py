@@ -191,6 +191,10 @@ def _labelled(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return documents.select("doc_id", "text").join(by, "doc_id").where("text IS NOT NULL")
 
 
+#: Letters of training texts that go into one packed piece at most (beside a single longer text).
+PACKED = 8_000_000
+
+
 def train(documents: DataFrame, labels: DataFrame, subjects: list[str], most: int = MOST_LABELLED, steps: int = STEPS, parts: int = PARTS) -> Model | None:
     """Fit the model on the labelled documents; None where there are none.
 
@@ -198,7 +202,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], most: in
     shared folder. In the first ``FIRST`` steps each sentence counts under its text's labels, which
     finds the words of each subject; from then on a text counts by the share of its sentences. Each
     step puts the model (a fixed 4 MB) there, each partition gives the
-    gradient of its texts, the gradients are summed and one Adam step is taken: the same as one
+    gradient of its texts (summed over its pieces), the gradients are summed and one Adam step is taken: the same as one
     step over all labelled texts at once. What comes back per step is bounded by parts times model
     size, whatever the number of texts.
     """
@@ -206,15 +210,22 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], most: in
     place = {s: k for k, s in enumerate(subjects)}
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, marks = [], []
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pickled((vars(Prepared(texts, BUCKETS)), np.array(marks, dtype=np.float32)))], pa.binary())], names=["arrays"])
+
+        texts, marks, letters = [], [], 0
         for b in batches:
             for text, own in zip(b.column("text").to_pylist(), b.column("subjects").to_pylist(), strict=True):
                 parts_of = sentences(text)
                 if parts_of:
                     texts.append(parts_of)
                     marks.append([1.0 if s in own else 0.0 for s in place])
+                    letters += len(text)
+                if letters > PACKED:
+                    yield packed()
+                    texts, marks, letters = [], [], 0
         if texts:
-            yield pa.RecordBatch.from_arrays([pa.array([pickled((vars(Prepared(texts, BUCKETS)), np.array(marks, dtype=np.float32)))], pa.binary())], names=["arrays"])
+            yield packed()
 
     sample = _labelled(documents, labels, most).repartition(parts, "doc_id").select("text", "subjects")
     folder = shared_folder(spark)
@@ -228,15 +239,18 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], most: in
         current = SharedFile(folder, f"model-{k}").write(values)
 
         def work(batches: Iterator[pa.RecordBatch], current=current, inherit=k < FIRST) -> Iterator[pa.RecordBatch]:
-            values = current.read()
+            values, whole, seen = current.read(), None, []
             for b in batches:
                 for blob in b.column("arrays").to_pylist():
                     arrays, marks = unpickled(blob)
                     texts = Prepared.of(arrays)
                     grads = texts.gradient(values, smoothed(marks), inherit)
-                    rows = np.unique(texts.feature)
-                    grads["embed"] = (rows.astype(np.int32), grads["embed"][rows])
-                    yield pa.RecordBatch.from_arrays([pa.array([pickled(grads)], pa.binary())], names=["grads"])
+                    seen.append(np.unique(texts.feature))
+                    whole = grads if whole is None else {name: whole[name] + g for name, g in grads.items()}
+            if whole is not None:
+                rows = np.unique(np.concatenate(seen))
+                whole["embed"] = (rows.astype(np.int32), whole["embed"][rows])
+                yield pa.RecordBatch.from_arrays([pa.array([pickled(whole)], pa.binary())], names=["grads"])
 
         total = {name: np.zeros_like(v) for name, v in values.items()}
         for row in ready.mapInArrow(work, "grads binary").collect():
