@@ -89,3 +89,14 @@ def test_frames_hold_trades_without_side_or_size(spark, rows, tmp_path):
     want = [(False, "1", 5, "buy", 1.0, None), (True, "15", 7, None, 3.0, None), (True, "3", 6, None, 2.0, 4.0)]
     for q in (envelope_explode, cross_form_dedup):
         assert rows(q(spark, str(tmp_path)), "is_envelope", "trade_key", "ts", "side", "price", "size") == want
+
+
+def test_a_block_begins_with_the_level_and_slope_of_the_one_before(spark):
+    rng = np.random.default_rng(5)
+    times = np.sort(rng.choice(np.arange(0, 2 * DAY_MS, 60_000), 700, replace=False))
+    value = 100 + times / DAY_MS * 10 + rng.normal(0, 0.02, 700)
+    data = [("a", int(t), float(v)) for t, v in zip(times, value) if not DAY_MS - 1_800_000 < t < DAY_MS + 1_800_000]
+    out = regular_grid(spark.createDataFrame(data, "symbol string, event_ms long, v double"), "symbol", "v", across=True)
+    near = {r.period_ms: r for r in out.where(f"abs(period_ms - {DAY_MS}) <= 1500000").collect()}
+    assert len(near) == 11 and all(r.is_missing for r in near.values())
+    assert all(abs(r.value - (100 + p / DAY_MS * 10)) < 0.05 for p, r in near.items())

@@ -14,18 +14,21 @@ from tideglass.operators.series import longs, numbers, whole_series
 
 #: Noise of a reading against the level's own movement per minute, tried per series by likelihood.
 NOISE_RATIOS = (0.01, 0.1, 1.0, 10.0)
-#: Diffusion of the slope against that of the level (per minute squared).
+#: Diffusion of the slope against that of the level (per minute squared): the first for the choice of noise, then the best of all.
 SLOPE_SHARE = 1e-5
+SLOPE_SHARES = (SLOPE_SHARE, 1e-7, 1e-3)
+#: Readings of the neighbouring blocks that a block's series begins and ends with where rows run across blocks.
+CARRIED = 16
 CELLS = 400_000
 
 
-def _filter(dt, y, q, r, keep: bool):
+def _filter(dt, y, q, r, share, keep: bool):
     """Forward pass over [step, series] arrays; NaN in ``y`` is a step without a reading."""
     steps, width = y.shape
     first = np.argmax(~np.isnan(y), axis=0)
     level, slope = y[first, np.arange(width)].copy(), np.zeros(width)
     a, b, c = np.full(width, 1e4) * (q + r), np.zeros(width), q * 1.0
-    qs = q * SLOPE_SHARE
+    qs = q * share
     logs, scores, seen = np.zeros(width), np.zeros(width), np.zeros(width)
     store = np.empty((10, steps, width)) if keep else None
     for k in range(steps):
@@ -59,9 +62,9 @@ def _filter(dt, y, q, r, keep: bool):
     return scale, logs + n * np.log(scale)
 
 
-def _smooth(dt, y, q, r):
+def _smooth(dt, y, q, r, share=SLOPE_SHARE):
     """Smoothed level and its variance at each step (Rauch-Tung-Striebel)."""
-    store = _filter(dt, y, q, r, keep=True)
+    store = _filter(dt, y, q, r, share, keep=True)
     steps, width = y.shape
     level, slope = store[5, -1].copy(), store[6, -1].copy()
     a, b, c = store[7, -1].copy(), store[8, -1].copy(), store[9, -1].copy()
@@ -90,8 +93,9 @@ def smooth_bundle(series: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> li
     """Smoothed value and standard deviation at grid times, of several series in lockstep.
 
     Each series is (reading times ms, readings, grid times ms), times ascending. The model of a
-    series is level' = slope + noise, slope' = noise in continuous time; the noise of a reading is
-    chosen by likelihood among ``NOISE_RATIOS`` and the overall scale by concentrated likelihood.
+    series is level' = slope + noise, slope' = noise in continuous time. The noise of a reading against
+    the level's is chosen by likelihood among ``NOISE_RATIOS``, then the slope's among
+    ``SLOPE_SHARES``, and the overall scale by concentrated likelihood.
     One reading, or equal readings, give a constant with the smallest scale.
     """
     width = len(series)
@@ -105,17 +109,17 @@ def smooth_bundle(series: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> li
     for j, (when, value, _) in enumerate(merged):
         dt[1 : len(when), j] = np.diff(when) / 60_000.0
         y[: len(when), j] = value
-    best_q = np.ones(width)
-    best_r, best = np.ones(width), np.full(width, np.inf)
-    for ratio in NOISE_RATIOS:
-        q, r = np.ones(width), np.full(width, ratio)
-        scale, score = _filter(dt, y, q, r, keep=False)
+    floor = np.array([max(1e-18, 1e-16 * s[1][0] ** 2) for s in series])
+    best_q, best_ratio, best_share, best = np.ones(width), np.ones(width), np.full(width, SLOPE_SHARES[0]), np.full(width, np.inf)
+    trials = [(np.full(width, ratio), SLOPE_SHARES[0]) for ratio in NOISE_RATIOS] + [(None, share) for share in SLOPE_SHARES[1:]]
+    for ratio, share in trials:
+        ratio = best_ratio if ratio is None else ratio
+        scale, score = _filter(dt, y, np.ones(width), ratio, share, keep=False)
         take = score < best
         best = np.where(take, score, best)
-        floor = np.array([max(1e-18, 1e-16 * s[1][0] ** 2) for s in series])
         best_q = np.where(take, np.maximum(scale, floor), best_q)
-        best_r = np.where(take, np.maximum(scale, floor) * ratio, best_r)
-    level, var = _smooth(dt, y, best_q, best_r)
+        best_ratio, best_share = np.where(take, ratio, best_ratio), np.where(take, share, best_share)
+    level, var = _smooth(dt, y, best_q, best_q * best_ratio, best_share)
     result = []
     for j, ((_, x, _), (when, _, grid)) in enumerate(zip(series, merged, strict=True)):
         at = np.flatnonzero(grid)
@@ -140,15 +144,16 @@ def _bundles(tables: Iterator[pa.Table]) -> Iterator[list[pa.Table]]:
 
 
 def _carried(rows: DataFrame, block_ms: int) -> DataFrame:
-    """For each block between a source's first and last reading, empty ones too: the last reading before it and the first after it."""
+    """For each block between a source's first and last reading, empty ones too: the last readings before it and the first after it."""
     at = rows.groupBy("_source", "_block", "event_ms").agg(F.avg("_value").alias("_value"))
-    edge = F.struct("event_ms", "_value")
-    edges = at.groupBy("_source", "_block").agg(F.min_by(edge, "event_ms").alias("_first"), F.max_by(edge, "event_ms").alias("_last"))
-    following = F.lead(F.struct("_block", "_first")).over(Window.partitionBy("_source").orderBy("_block"))
-    breaks = edges.withColumn("_next", following).where("_next IS NOT NULL")
+    own = Window.partitionBy("_source", "_block")
+    numbered = at.withColumn("_up", F.row_number().over(own.orderBy("event_ms"))).withColumn("_down", F.row_number().over(own.orderBy(F.desc("event_ms")))).where((F.col("_up") <= CARRIED) | (F.col("_down") <= CARRIED))
+    blocks = rows.select("_source", "_block").distinct()
+    breaks = blocks.withColumn("_next", F.lead("_block").over(Window.partitionBy("_source").orderBy("_block"))).where("_next IS NOT NULL")
     step = F.lit(block_ms).cast("long")
-    before = breaks.select("_source", F.explode(F.sequence(F.col("_block") + step, F.col("_next._block"), step)).alias("_block"), "_last.event_ms", "_last._value")
-    after = breaks.select("_source", F.explode(F.sequence(F.col("_block"), F.col("_next._block") - step, step)).alias("_block"), "_next._first.event_ms", "_next._first._value")
+    ends = lambda which: numbered.where(F.col(which) <= CARRIED).select("_source", F.col("_block").alias("_from"), "event_ms", "_value")
+    before = breaks.withColumn("_from", F.col("_block")).join(ends("_down"), ["_source", "_from"]).select("_source", F.explode(F.sequence(F.col("_block") + step, "_next", step)).alias("_block"), "event_ms", "_value")
+    after = breaks.withColumn("_from", F.col("_next")).join(ends("_up"), ["_source", "_from"]).select("_source", F.explode(F.sequence(F.col("_block"), F.col("_next") - step, step)).alias("_block"), "event_ms", "_value")
     return before.unionByName(after)
 
 
@@ -161,8 +166,9 @@ def regular_grid(readings: DataFrame, source: str, value: str, step_ms: int = PE
     block before and after) and ``value_sd`` (its standard deviation).
 
     With ``across`` the rows run from the source's first to its last reading without a break: each
-    block, also one without readings, is filled to its ends with the last reading before it and the
-    first after it as further readings of its series.
+    block, also one without readings, is filled to its ends with the last ``CARRIED`` readings before it and
+    the first after it as further readings of its series: the smoother comes into a block with the
+    level and slope it had at the end of the one before.
 
     A block (a UTC day) of a source is one series of the smoother; blocks are what splits a source
     that holds most rows. Series run through the filter in lockstep, vectorised across series.

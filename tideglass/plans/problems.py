@@ -55,6 +55,11 @@ def _mark_readings(spark: SparkSession, folder: str) -> DataFrame:
     return timed_records(readings, "tick_id", ["symbol", "mark_price"])
 
 
+def p2_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """How many readings each period of p2_grid has, whether it is filled, and that what fills it has a spread."""
+    return p2_grid(spark, folder).select("symbol", "period_ms", "readings", "is_missing", ((F.col("value_sd") >= 0) & (F.col("mark_price") > 0)).alias("has_value"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Periods without a mark_price reading between the first and the last of a symbol and UTC day."""
     return regular_grid(_mark_readings(spark, folder), "symbol", "mark_price").where("is_missing").select("symbol", "period_ms")
@@ -133,7 +138,7 @@ def p7_symbol_totals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes_per_symbol, p2_found, p2_grid, p4_found, p4_periods, p5_found, p5_flags, p7_symbol_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes_per_symbol, p2_found, p2_grid, p2_periods, p4_found, p4_periods, p5_found, p5_flags, p7_symbol_totals)}
 
 _TICKS = """SELECT tick_id, any_value(symbol) AS symbol, any_value(mark_price) AS mark_price, any_value(last_price) AS last_price,
   min(recv_ts) AS recv_ts, CASE WHEN any_value(ts) <> 0 THEN any_value(ts) ELSE CAST(floor(min(recv_ts) * 1000) AS BIGINT) END AS event_ms
@@ -161,6 +166,9 @@ ORACLE = {
       FROM ({_TICKS}) t WHERE mark_price > 0 AND event_ms IS NOT NULL),
       g AS (SELECT symbol, unnest(generate_series(min(period_ms), max(period_ms), 300000)) AS period_ms FROM r GROUP BY symbol, day)
       SELECT symbol, period_ms FROM g EXCEPT SELECT symbol, period_ms FROM r""",
+    "p2_periods": f"""WITH r AS (SELECT symbol, event_ms - event_ms % 300000 AS period_ms, count(DISTINCT event_ms) AS n FROM ({_TICKS}) t WHERE mark_price > 0 AND event_ms IS NOT NULL GROUP BY 1, 2),
+      g AS (SELECT symbol, unnest(generate_series(min(period_ms), max(period_ms), 300000)) AS period_ms FROM r GROUP BY symbol)
+      SELECT g.symbol, g.period_ms, coalesce(n, 0) AS readings, n IS NULL AS is_missing, true AS has_value FROM g LEFT JOIN r ON g.symbol = r.symbol AND g.period_ms = r.period_ms""",
     "p4_found": f"""SELECT src_table, rec_id, CASE WHEN delay > 600000 THEN 'too_late' ELSE 'late' END AS outcome FROM ({_OUTCOMES}) o WHERE delay > 10000""",
     "p4_periods": f"""WITH o AS (SELECT *, delay IS NULL OR delay <= 600000 AS kept FROM ({_OUTCOMES}) x)
       SELECT src_table, symbol, period_ms, count(*) FILTER (kept) AS records, count(*) FILTER (kept AND delay > 10000) AS late_records,
