@@ -33,11 +33,12 @@ def trade_rows(frames: DataFrame, payload: str = "payload_json", ts: str = "ts_e
     trade with its own time, the packet's time standing in where it has none. Other frames are one
     trade each. Price and size are parsed from the text of the field (sizes as exact decimals); text
     that is no number gives null. Null or broken payloads give a row of nulls, empty arrays give
-    none. One pass over the frames: each frame is parsed once for its envelope and each trade once
-    for all its fields, no branch reads them twice, and nothing is exchanged.
+    none. One pass over the frames: a frame whose text names ``data`` is parsed once for its envelope,
+    and each trade once for all its fields; no branch reads them twice, and nothing is exchanged.
     """
     body = F.col(payload)
-    frame = frames.select(*keep, F.col(ts).alias("_packet"), body.alias("_body"), F.from_json(body, "data string, params struct<data:string>").alias("_e"))
+    envelope = F.when(body.contains('"data"'), F.from_json(body, "data string, params struct<data:string>"))
+    frame = frames.select(*keep, F.col(ts).alias("_packet"), body.alias("_body"), envelope.alias("_e"))
     inner = F.coalesce(*[F.when(is_array_or_object(c), F.ltrim(c)) for c in (F.col("_e.data"), F.col("_e.params.data"))])
     framed = frame.select(*keep, "_packet", "_body", inner.alias("_inner"))
     listed = F.when(F.col("_inner").startswith("["), F.col("_inner")).otherwise(F.concat(F.lit("["), "_inner", F.lit("]")))

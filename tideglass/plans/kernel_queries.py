@@ -13,6 +13,8 @@ from tideglass.operators.grouped import per_series
 from tideglass.operators.orderbook import delta_frames, quote_fills, refilled_levels, sampled_books, snapshot_minutes
 from tideglass.plans.registry import query
 from tideglass.plans.views import DAILY, FILLS, QUOTES, daily, fills, quotes, weekly_returns
+from tideglass.session import shared_folder, written
+from tideglass.sources.sinks import write_days
 from tideglass.sources.tables import table
 
 
@@ -201,6 +203,20 @@ def daily_spread(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("symbol", "day", "minutes", (F.round(F.col("q")[0], 7) + 0.0).alias("median_bp"), (F.round(F.col("q")[1], 7) + 0.0).alias("p90_bp"))
 
 
+_DAYS = f"(SELECT symbol, CAST(minute_ms // 86400000 AS BIGINT) AS day, count(*) AS n_rows, count(*) FILTER (spread_bp IS NULL) AS n_bad, round(sum(tilt), 4) + 0.0 AS total_tilt FROM {_MINUTES} m GROUP BY 1, 2)"
+
+
+@query(f"SELECT symbol, day, n_rows, n_bad, CASE WHEN n_bad > 3 THEN 'discarded' ELSE 'ok' END AS status, CASE WHEN n_bad <= 3 THEN total_tilt END AS total_tilt FROM {_DAYS} d")
+def tilt_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Minute samples written by symbol and day, days with more than three one-sided minutes discarded, and read back beside the manifest."""
+    root = shared_folder(spark)
+    m = written(book_minutes(spark, folder).withColumn("day", F.floor(F.col("minute_ms") / 86_400_000)), f"{root}/minutes")
+    for _ in range(2):
+        write_days(m.hint("rebalance", "symbol", "day"), ["symbol", "day"], f"{root}/days", f"{root}/manifest", F.col("spread_bp").isNull(), 3)
+    sums = spark.read.schema("symbol string, day long, minute_ms long, tilt double, spread_bp double").parquet(f"{root}/days").groupBy("symbol", "day").agg((F.round(F.sum("tilt"), 4) + 0.0).alias("total_tilt"))
+    return spark.read.parquet(f"{root}/manifest").select("symbol", "day", "n_rows", "n_bad", "status").join(sums, ["symbol", "day"], "left")
+
+
 @query()
 def quote_fill_times(spark: SparkSession, folder: str) -> DataFrame:
     """Fill times within five minutes of quotes at the touch, a tenth of its size, placed at every minute."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -98,6 +98,21 @@ def read_panel(spark: SparkSession, folder: str, manifest: str, partial: bool =
     return checked.where(ok).drop("_status")
 
 
+def write_days(samples: DataFrame, by: list[str], folder: str, manifest: str, bad: Column, most_bad: int) -> None:
+    """Samples by symbol and day, each day once: ``ok`` days are written, days with more than ``most_bad`` bad samples are only noted as ``discarded``.
+
+    Days the manifest has are left alone, so a run that is repeated takes up where the last one ended.
+    """
+    done = _known(samples.sparkSession, manifest)
+    if done is not None:
+        samples = samples.join(F.broadcast(done.select(*by).distinct()), by, "leftanti")
+    days = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_bad")).withColumn("status", F.when(F.col("n_bad") > most_bad, "discarded").otherwise("ok"))
+    # one row per day; kept as a table, so that what is written and what is noted agree
+    noted = days.sparkSession.createDataFrame(days.collect(), days.schema)
+    _published(samples.join(F.broadcast(noted.where("status = 'ok'").select(*by)), by, "leftsemi"), folder, by)
+    noted.withColumn("updated_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(manifest)
+
+
 def archive(hot: DataFrame, cutoff_ms: int, cold: str, remainder: str) -> None:
     """Rows before the cut-off to compressed partitions by day, the rest to ``remainder``; nothing is deleted in place.
 
