@@ -157,3 +157,12 @@ def test_spread_before_each_value_and_windows():
 def test_chi_squared_tails_of_odd_and_even_degrees():
     for x, df in ((3.841459, 1), (5.991465, 2), (7.814728, 3), (9.487729, 4), (24.9958, 15)):
         assert k.chi2_tail(x, df) == pytest.approx(0.05, abs=1e-5)
+
+
+def test_chains_of_higher_order_and_density():
+    x = np.array([0, 0, 1, 1] * 60)
+    assert k.markov_cross_entropy(x, x, 2, order=2) < 0.05 < 0.6 < k.markov_cross_entropy(x, x, 2, order=1)
+    assert np.isnan(k.markov_cross_entropy(x, x[:2], 2, order=2))
+    grid = np.linspace(-3, 3, 6001)
+    p = k.risk_neutral_density((0.04, 0.1, -0.3, 0.0, 0.2), grid)
+    assert (p > -1e-9).all() and p.sum() * (grid[1] - grid[0]) == pytest.approx(1, abs=1e-3) and (p * np.exp(grid)).sum() * (grid[1] - grid[0]) == pytest.approx(1, abs=1e-3)

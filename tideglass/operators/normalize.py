@@ -117,3 +117,23 @@ def parsed_instrument(name: Column) -> dict[str, Column]:
 def extracted_symbols(text: Column) -> Column:
     """Symbols ending in USDT or PERP named in a text, in order of first appearance."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([A-Z0-9]{2,15}(?:USDT|PERP))(?![A-Za-z0-9_])"), 1))
+
+
+def announced(text: Column) -> dict[str, Column]:
+    """What a notice says: its symbols, the first UTC time named in it (ms) and whether it is about an end or a start."""
+    when = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}) ?UTC", 0)
+    day, clock = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}) ?UTC", 1), F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}) ?UTC", 2)
+    at = F.when(when != "", F.unix_millis(F.try_to_timestamp(F.concat(day, F.lit(" "), clock), F.lit("yyyy-MM-dd HH:mm"))))
+    low = F.lower(text)
+    kind = F.when(low.rlike("delist|will be removed"), "delisting").when(low.rlike("\\blist|launch"), "listing")
+    return {"symbols": extracted_symbols(text), "at_ms": at, "category": kind}
+
+
+def last_payload(frames: DataFrame, by: list[str], payload: str, ts: str, field: str) -> DataFrame:
+    """The field of the last frame of each group, by (time, text); a last frame that lacks it is an error that shows it, as an unknown layout would pass for no data."""
+    last = frames.groupBy(*by).agg(F.max(F.struct(ts, payload)).alias("_l"))
+    text = F.col(f"_l.{payload}")
+    value = ticker_field(text, field)
+    shown = F.concat(F.lit(f"no {field} in "), text)
+    ok = F.when(value.isNotNull(), True).otherwise(F.raise_error(shown).cast("boolean"))
+    return last.where(ok).select(*by, F.col(f"_l.{ts}").alias(ts), value.alias("value"))

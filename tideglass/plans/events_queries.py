@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideglass.operators import normalize
+from tideglass.operators.blocks import with_last_known, with_previous
 from tideglass.plans.registry import query
 from tideglass.plans.views import FILLS, fills
 from tideglass.sources.tables import table
@@ -72,9 +73,10 @@ def date_arithmetic(spark: SparkSession, folder: str) -> DataFrame:
 def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions of a user: events at most thirty minutes apart."""
     e = table(spark, folder, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    w = Window.partitionBy("user_id").orderBy("ms", "event_id")
-    s = e.withColumn("new", F.when(F.col("ms") - F.lag("ms").over(w) > 1_800_000, 1).otherwise(0)).withColumn("k", F.sum("new").over(w))
-    return s.groupBy("user_id", "k").agg(F.min("ms").alias("started"), F.count(F.lit(1)).alias("n")).drop("k")
+    order = ["ms", "event_id"]
+    p = with_previous(e, ["user_id"], order, ["ms"])
+    begun = p.withColumn("_begun", F.when(F.col("prev").isNull() | (F.col("ms") - F.col("prev.ms") > 1_800_000), F.col("ms")))
+    return with_last_known(begun, ["user_id"], order, "_begun", "started").groupBy("user_id", "started").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT doc_id, list_distinct(regexp_extract_all(text, '\\b([A-Z0-9]{2,15}(?:USDT|PERP))\\b', 1)) IS NOT NULL AND len(list_distinct(regexp_extract_all(text, '\\b([A-Z0-9]{2,15}(?:USDT|PERP))\\b', 1))) > 0 AS names_any,
@@ -96,8 +98,9 @@ def set_difference(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) x WHERE rn = 1""")
 def first_wins_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, folder, "orders").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("o_orderkey", "o_custkey")
+    """The first order of each customer: an aggregate, so a customer with most orders is combined where they lie."""
+    first = F.min(F.struct("o_orderdate", "o_orderkey")).alias("_first")
+    return table(spark, folder, "orders").groupBy("o_custkey").agg(first).select("_first.o_orderkey", "o_custkey")
 
 
 @query("""SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
@@ -125,6 +128,19 @@ def top_n(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
 
 
+@query(f"SELECT symbol, n FROM (SELECT symbol, count(*) AS n FROM {FILLS} f GROUP BY 1) x ORDER BY n DESC, symbol LIMIT 1")
+def busiest_symbol(spark: SparkSession, folder: str) -> DataFrame:
+    """The symbol with most trades (a top-1 report); ties go by name."""
+    return fills(spark, folder).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "symbol").limit(1)
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) - 30000, 2) AS pnl FROM lineitem ORDER BY pnl, l_orderkey, l_linenumber LIMIT 20")
+def worst_trades(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty worst results (a top-k report)."""
+    pnl = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) - 30000, 2)
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", pnl.alias("pnl")).orderBy("pnl", "l_orderkey", "l_linenumber").limit(20)
+
+
 @query("""SELECT c_mktsegment AS symbol, count(*) AS n, round(quantile_cont(o_totalprice, 0.5), 6) AS median, min(o_totalprice) AS worst FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment UNION ALL SELECT NULL, count(*), round(quantile_cont(o_totalprice, 0.5), 6), min(o_totalprice) FROM orders JOIN customer ON o_custkey = c_custkey""")
 def pooled_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics per group and pooled (null group)."""

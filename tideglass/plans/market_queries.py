@@ -123,14 +123,22 @@ def asof_tolerance(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""SELECT ts AS event_ms, 'trade' AS kind, 0 AS kind_rank, symbol, price, size, CAST(NULL AS DOUBLE) AS mark_price FROM {FILLS} f
-  UNION ALL SELECT ts, 'ticker', 2, symbol, NULL, NULL, mark_price FROM {QUOTES} q"""
+  UNION ALL SELECT DISTINCT ts, 'book', 1, symbol, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM orderbook_snapshots
+  UNION ALL SELECT ts, 'ticker', 2, symbol, NULL, NULL, mark_price FROM {QUOTES} q
+  UNION ALL SELECT CAST((ts // 3600000 + 1) * 3600000 AS BIGINT), 'bar', 3, symbol, arg_max(price, (ts, price)), CAST(sum(CAST(size AS DECIMAL(38,12))) AS DOUBLE), NULL FROM {FILLS} f GROUP BY ts // 3600000, symbol"""
 )
 def event_merge(spark: SparkSession, folder: str) -> DataFrame:
-    return align.merged_events(
-        {"trade": fills(spark, folder).withColumn("event_ms", F.col("ts")), "ticker": quotes(spark, folder).withColumn("event_ms", F.col("ts"))},
-        ["symbol", "price", "size", "mark_price"],
-        {"trade": 0, "ticker": 2},
-    )
+    """Four tables as one stream: trades, snapshots, ticker records and closed hourly bars."""
+    own = lambda df: df.withColumn("event_ms", F.col("ts"))
+    f = fills(spark, folder)
+    hours = f.groupBy("symbol", F.floor(F.col("ts") / 3_600_000).alias("h")).agg(F.max_by("price", F.struct("ts", "price")).alias("price"), F.sum(bars.exact("size")).cast("double").alias("size"))
+    tables = {
+        "trade": own(f),
+        "book": own(table(spark, folder, "orderbook_snapshots").select("symbol", "ts").distinct()),
+        "ticker": own(quotes(spark, folder)),
+        "bar": hours.withColumn("event_ms", (F.col("h") + 1) * 3_600_000),
+    }
+    return align.merged_events(tables, ["symbol", "price", "size", "mark_price"], {"trade": 0, "book": 1, "ticker": 2, "bar": 3})
 
 
 @query(

@@ -266,3 +266,25 @@ def funding_alias_loader(spark: SparkSession, folder: str) -> DataFrame:
     q = quotes(spark, folder).where("funding_rate IS NOT NULL").select("symbol", "ts", F.element_at(F.array(*bodies), (F.pmod("tick_id", F.lit(3)) + 1).cast("int")).alias("payload"))
     value = F.coalesce(*[normalize.ticker_field(F.col("payload"), n) for n in names])
     return q.groupBy("symbol", _date().alias("date")).agg(F.round(F.avg(value), 10).alias("mean_rate"))
+
+
+@query(f"SELECT symbol, {_DATE} AS date, max(ts) AS ts, arg_max(mark_price, (ts, mark_price)) AS value FROM {QUOTES} q WHERE mark_price > 0 GROUP BY 1, 2")
+def index_close(spark: SparkSession, folder: str) -> DataFrame:
+    """Value of the last index frame of each day (marks stand in for the volatility)."""
+    q = quotes(spark, folder).where("mark_price > 0").select("symbol", _date().alias("date"), "ts", F.to_json(F.struct(F.col("mark_price").alias("volatility"))).alias("payload"))
+    return normalize.last_payload(q, ["symbol", "date"], "payload", "ts", "volatility")
+
+
+@query("SELECT symbol, epoch_ms(date_trunc('minute', launch_ts)) AS at_ms, CASE WHEN status = 'Trading' THEN 'listing' ELSE 'delisting' END AS category FROM instruments WHERE regexp_matches(symbol, '^[A-Z0-9]{2,15}(USDT|PERP)$')")
+def announcement_register(spark: SparkSession, folder: str) -> DataFrame:
+    """Notices about instruments through a paged source, read for symbol, time and kind."""
+    word = F.when(F.col("status") == "Trading", "New listing: ").otherwise("Delisting of ")
+    day = F.date_format("launch_ts", "yyyy-MM-dd HH:mm")
+    i = table(spark, folder, "instruments").select("symbol", F.concat(word, F.col("symbol"), F.lit(" at "), day, F.lit(" UTC.")).alias("title"))
+
+    def fetch(request: dict) -> dict:
+        return {"retCode": 0, "result": {"list": [{"title": request["title"]}]}}
+
+    notices = paged.paged(i, fetch, "title string", lambda request, e: (e["title"],))
+    said = normalize.announced(F.col("title"))
+    return notices.select(F.explode(said["symbols"]).alias("symbol"), said["at_ms"].alias("at_ms"), said["category"].alias("category"))

@@ -33,6 +33,15 @@ def hill_tail(spark: SparkSession, folder: str) -> DataFrame:
     return l.join(u, "symbol").where("loss > u AND u > 0").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.ln(F.col("loss") / F.col("u"))), 8).alias("hill"), F.round(F.avg(F.col("loss") - F.col("u")), 8).alias("mean_excess"))
 
 
+@query(f"""WITH m AS (SELECT symbol, ln(abs(loss)) / ln(10) AS m FROM {_LOSS} l WHERE loss <> 0), t AS (SELECT symbol, m, quantile_cont(m, 0.5) OVER (PARTITION BY symbol) AS c FROM m)
+  SELECT symbol, count(*) AS n, round(1 / ln(10) / nullif(avg(m - c), 0), 6) AS b_value FROM t WHERE m >= c GROUP BY symbol""")
+def magnitude_law(spark: SparkSession, folder: str) -> DataFrame:
+    """How fast the number of moves falls with their magnitude (log10), by likelihood above the median one."""
+    m = daily(spark, folder).select("symbol", (F.ln("close") - F.ln(F.lag("close").over(_by_day_no()))).alias("r")).where("r <> 0").select("symbol", (F.ln(F.abs("r")) / F.ln(F.lit(10.0))).alias("m"))
+    t = m.join(m.groupBy("symbol").agg(F.percentile("m", 0.5).alias("c")), "symbol").where("m >= c")
+    return t.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(1 / F.ln(F.lit(10.0)) / F.nullif(F.avg(F.col("m") - F.col("c")), F.lit(0.0)), 6).alias("b_value"))
+
+
 @query("""WITH e AS (SELECT (event_type = 'purchase')::INT AS y, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r FROM events)
   SELECT count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg, round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0), 8) AS auc FROM e""")
 def auc(spark: SparkSession, folder: str) -> DataFrame:
