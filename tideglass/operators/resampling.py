@@ -280,6 +280,9 @@ def rank_correlation(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def stress_lift(x: np.ndarray, y: np.ndarray, stress: np.ndarray) -> float:
+    """Rank correlation under stress minus that of the other days; unknown with fewer than four of either."""
+    if min(stress.sum(), (~stress).sum()) < 4:
+        return np.nan
     return rank_correlation(x[stress], y[stress]) - rank_correlation(x[~stress], y[~stress])
 
 

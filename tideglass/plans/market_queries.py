@@ -249,10 +249,11 @@ def daily_basis(spark: SparkSession, folder: str) -> DataFrame:
     return q.withColumn("basis", F.round(F.col("mark") / F.nullif(F.col("index"), F.lit(0.0)) - 1, 10))
 
 
-@query(f"""SELECT symbol, CAST(ts // 86400000 AS BIGINT) AS day, round(avg(funding_rate), 10) AS mean_rate, count(funding_rate) AS n, arg_max(open_interest, (ts, tick_id)) FILTER (open_interest IS NOT NULL) AS oi_close FROM {QUOTES} q GROUP BY 1, 2""")
+@query(f"""SELECT symbol, CAST(ts // 86400000 AS BIGINT) AS day, round(avg(funding_rate) + 1e-13, 10) AS mean_rate, count(funding_rate) AS n, arg_max(open_interest, (ts, tick_id)) FILTER (open_interest IS NOT NULL) AS oi_close FROM {QUOTES} q GROUP BY 1, 2""")
 def daily_funding_and_oi(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean rate and last open interest per day; means that fall between two roundings go up, whatever the order of rows."""
     return quotes(spark, folder).groupBy("symbol", "day").agg(
-        F.round(F.avg("funding_rate"), 10).alias("mean_rate"), F.count("funding_rate").alias("n"), F.max_by("open_interest", F.when(F.col("open_interest").isNotNull(), F.struct("ts", "tick_id"))).alias("oi_close")
+        F.round(F.sum(F.col("funding_rate").cast("decimal(38,18)")).cast("double") / F.count("funding_rate") + 1e-13, 10).alias("mean_rate"), F.count("funding_rate").alias("n"), F.max_by("open_interest", F.when(F.col("open_interest").isNotNull(), F.struct("ts", "tick_id"))).alias("oi_close")
     )
 
 

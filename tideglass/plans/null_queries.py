@@ -42,7 +42,12 @@ def _weeks(spark: SparkSession, folder: str) -> np.ndarray:
 
 
 def _judged(null: DataFrame, observed: float, centre: float | None = None, digits: int = 6, two_sided: bool = True) -> DataFrame:
-    """Observed value, replicates, whether their mean lies within six standard errors of ``centre``, whether p is possible."""
+    """Observed value, replicates, whether their mean lies within six standard errors of ``centre``, whether p is possible.
+
+    A statistic that the panel is too small for is null, and there is nothing to judge then.
+    """
+    if not np.isfinite(observed):
+        return null.agg(F.lit(None).cast("double").alias("observed"), F.count(F.lit(1)).alias("replicates"), F.lit(True).alias("p_possible"), F.lit(True).alias("sane"))
     p = rs.p_value(null, observed, two_sided)
     near = F.lit(True) if centre is None else F.abs(F.avg("statistic") - centre) <= 6 * F.stddev_samp("statistic") / F.sqrt(F.count(F.lit(1))) + 1e-12
     sane = null.agg(near.alias("centred"), F.count_if(F.isnan("statistic") | F.col("statistic").isNull()).alias("undefined"), F.lit(1).alias("_k"))
@@ -135,11 +140,13 @@ def ar1_panel_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT {REPLICATES} AS replicates, true AS between_noise_and_first, count(DISTINCT symbol) AS series FROM {RETURNS} r WHERE ret IS NOT NULL")
 def one_factor_spectrum(spark: SparkSession, folder: str) -> DataFrame:
-    """Second eigenvalue where one factor explains the first: above the mean eigenvalue, below the first one."""
+    """Second eigenvalue where one factor explains the first: above nothing, below the first one or the reach of noise."""
     x = np.nan_to_num(_weeks(spark, folder))
+    x = x + np.where(x.std(0) > 0, 0.0, np.random.default_rng(52).standard_normal(x.shape) * 1e-6)  # a series that never moves correlates with none
     values, vectors = np.linalg.eigh(np.corrcoef(x.T))
     null = rs.replicates(spark, REPLICATES, 52, rs.one_factor_second(float(values[-1]), vectors[:, -1], len(x)))
-    between = (F.min("statistic") > 0) & (F.max("statistic") < max(values[-1], 1 + 2 * np.sqrt(x.shape[1] / len(x)) + x.shape[1] / len(x)))
+    edge = (1 + np.sqrt(x.shape[1] / len(x))) ** 2
+    between = (F.min("statistic") > 0) & (F.max("statistic") < max(float(values[-1]), 1.5 * edge))
     return null.agg(F.count(F.lit(1)).alias("replicates"), between.alias("between_noise_and_first")).withColumn("series", F.lit(x.shape[1]).cast("long"))
 
 
@@ -193,7 +200,7 @@ _PAIR = f"""(SELECT day_no, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FRO
 _RANKED = """SELECT corr(a, b) FROM (SELECT rank() OVER (ORDER BY dx) + (count(*) OVER (PARTITION BY dx) - 1) / 2.0 AS a, rank() OVER (ORDER BY dy) + (count(*) OVER (PARTITION BY dy) - 1) / 2.0 AS b FROM d WHERE {which}) r"""
 
 
-@query(f"""WITH d AS (SELECT * FROM {_PAIR} p WHERE dx IS NOT NULL) SELECT v AS variant, round(({_RANKED.format(which="day_no % 5 = 0")}) - ({_RANKED.format(which="day_no % 5 <> 0")}), 6) AS observed, {REPLICATES} AS replicates, true AS p_possible, true AS sane FROM (SELECT unnest(['fixed', 'selected']) AS v) q""")
+@query(f"""WITH d AS (SELECT * FROM {_PAIR} p WHERE dx IS NOT NULL) SELECT v AS variant, CASE WHEN (SELECT count(*) FILTER (day_no % 5 = 0) >= 4 AND count(*) FILTER (day_no % 5 <> 0) >= 4 FROM d) THEN round(coalesce(({_RANKED.format(which="day_no % 5 = 0")}), 0) - coalesce(({_RANKED.format(which="day_no % 5 <> 0")}), 0), 6) END AS observed, {REPLICATES} AS replicates, true AS p_possible, true AS sane FROM (SELECT unnest(['fixed', 'selected']) AS v) q""")
 def coherence_null(spark: SparkSession, folder: str) -> DataFrame:
     """Lift of a pair's rank correlation on stress days (every fifth stands in) against independent block resamples; the pair is the first and the last series."""
     d = daily(spark, folder)

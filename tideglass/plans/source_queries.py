@@ -258,14 +258,14 @@ def prefiltered_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return tree.select(F.get_json_object("payload_json", "$.id").cast("long").alias("tick_id"), normalize.ticker_field(F.col("payload_json"), "markPrice").alias("mark_price"))
 
 
-@query(f"SELECT symbol, {_DATE} AS date, round(avg(funding_rate), 10) AS mean_rate FROM {QUOTES} q WHERE funding_rate IS NOT NULL GROUP BY 1, 2")
+@query(f"SELECT symbol, {_DATE} AS date, round(avg(funding_rate) + 1e-13, 10) AS mean_rate FROM {QUOTES} q WHERE funding_rate IS NOT NULL GROUP BY 1, 2")
 def funding_alias_loader(spark: SparkSession, folder: str) -> DataFrame:
     """Daily mean funding of frames in which the field goes by several names."""
     names = ("fundingRate", "funding_rate", "r")
     bodies = [F.to_json(F.struct(F.col("funding_rate").alias(n))) for n in names]
     q = quotes(spark, folder).where("funding_rate IS NOT NULL").select("symbol", "ts", F.element_at(F.array(*bodies), (F.pmod("tick_id", F.lit(3)) + 1).cast("int")).alias("payload"))
     value = F.coalesce(*[normalize.ticker_field(F.col("payload"), n) for n in names])
-    return q.groupBy("symbol", _date().alias("date")).agg(F.round(F.avg(value), 10).alias("mean_rate"))
+    return q.groupBy("symbol", _date().alias("date")).agg(F.round(F.sum(value.cast("decimal(38,18)")).cast("double") / F.count(value) + 1e-13, 10).alias("mean_rate"))
 
 
 @query(f"SELECT symbol, {_DATE} AS date, max(ts) AS ts, arg_max(mark_price, (ts, mark_price)) AS value FROM {QUOTES} q WHERE mark_price > 0 GROUP BY 1, 2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideglass.operators.ranks import average_rank, rejected
+from tideglass.operators.ranks import rejected
 from tideglass.plans.registry import query
 from tideglass.plans.views import DAILY, FILLS, RETURNS, daily, fills, weekly_returns
 from tideglass.sources.tables import table

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideglass.operators import bars
 from tideglass.operators.grouped import per_series
 from tideglass.operators.ranks import average_rank, floor_bucket, pearson, spearman
-from tideglass.plans.market_queries import _MINUTE, _MRET, _minute_returns
+from tideglass.plans.market_queries import _MRET, _minute_returns
 from tideglass.plans.registry import query
 from tideglass.plans.views import DAILY, FILLS, QUOTES, RETURNS, WEEKLY, daily, fills, quotes, weekly, weekly_returns
 from tideglass.sources.tables import table
