@@ -48,12 +48,20 @@ _MAD = f"""WITH w AS (SELECT symbol, day_no, list(r) OVER (PARTITION BY symbol O
 _FFD = f"""WITH RECURSIVE w AS (SELECT 0 AS k, CAST(1.0 AS DOUBLE) AS w UNION ALL SELECT k + 1, -w * (0.4 - (k + 1) + 1) / (k + 1) FROM w WHERE abs(-w * (0.4 - (k + 1) + 1) / (k + 1)) >= 1e-4),
   s AS (SELECT symbol, day_no, x, row_number() OVER (PARTITION BY symbol ORDER BY day_no) AS i FROM {_RETURN} r)
   SELECT a.symbol, CAST(a.day_no AS DOUBLE) AS at, round(CASE WHEN a.i >= (SELECT count(*) FROM w) THEN sum(w.w * b.x) END, 7) + 0.0 AS value FROM s a JOIN w ON true LEFT JOIN s b ON b.symbol = a.symbol AND b.i = a.i - w.k GROUP BY a.symbol, a.day_no, a.i"""
+_PE = f"""WITH x AS (SELECT symbol, day_no, lag(close, 2) OVER w AS a, lag(close) OVER w AS b, close AS c FROM {DAILY} d WINDOW w AS (PARTITION BY symbol ORDER BY day_no)),
+  o AS (SELECT symbol, day_no, CASE WHEN a IS NULL THEN NULL ELSE (a > b)::INT * 4 + (a > c)::INT * 2 + (b > c)::INT END AS code FROM x),
+  l AS (SELECT symbol, day_no, list(code) OVER w AS v, count(code) OVER w AS n FROM o WINDOW w AS (PARTITION BY symbol ORDER BY day_no ROWS 27 PRECEDING)),
+  h AS (SELECT symbol, day_no, n, list_sum(list_transform([0, 1, 3, 4, 6, 7], lambda c: CASE WHEN len(list_filter(v, lambda y: y = c)) > 0 THEN -len(list_filter(v, lambda y: y = c)) / 28.0 * ln(len(list_filter(v, lambda y: y = c)) / 28.0) ELSE 0 END)) / ln(6) AS e FROM l)
+  SELECT symbol, CAST(day_no AS DOUBLE) AS at, round(CASE WHEN n = 28 THEN e END, 7) + 0.0 AS value FROM h"""
+_CHAIN = f"""WITH s AS (SELECT symbol, (r > 0)::INT AS b, row_number() OVER (PARTITION BY symbol ORDER BY day_no) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM {_RETURN} r),
+  p AS (SELECT symbol, n, i, b AS a, lead(b) OVER (PARTITION BY symbol ORDER BY i) AS z FROM s), c AS (SELECT symbol, a, z, count(*) AS k FROM p WHERE i + 1 < n // 2 GROUP BY 1, 2, 3), m AS (SELECT symbol, a, sum(k) AS k FROM c GROUP BY 1, 2)
+  SELECT p.symbol, round(-avg(ln((coalesce(c.k, 0) + 0.5) / (coalesce(m.k, 0) + 1.0))), 7) AS cross_entropy FROM p LEFT JOIN c ON p.symbol = c.symbol AND p.a = c.a AND p.z = c.z LEFT JOIN m ON p.symbol = m.symbol AND p.a = m.a WHERE i >= n // 2 AND p.z IS NOT NULL AND n >= 30 GROUP BY 1"""
 _THROTTLED = f"""WITH RECURSIVE q AS (SELECT symbol, CAST(ts // 86400000 AS BIGINT) AS day, ts FROM {QUOTES} q WHERE mark_price > 0),
   n AS (SELECT a.symbol, a.day, a.ts, min(b.ts) AS nxt FROM q a LEFT JOIN q b ON a.symbol = b.symbol AND a.day = b.day AND b.ts >= a.ts + 60000 GROUP BY 1, 2, 3),
   k AS (SELECT symbol, day, min(ts) AS ts FROM q GROUP BY 1, 2 UNION ALL SELECT n.symbol, n.day, n.nxt FROM k JOIN n ON n.symbol = k.symbol AND n.day = k.day AND n.ts = k.ts WHERE n.nxt IS NOT NULL)
   SELECT q.symbol, q.day, CAST(q.ts AS DOUBLE) AS at, CAST(k.ts IS NOT NULL AS DOUBLE) AS value FROM q LEFT JOIN k ON q.symbol = k.symbol AND q.day = k.day AND q.ts = k.ts"""
 _ret = lambda x: np.diff(x, prepend=x[:1])
-_series("rolling_permutation_entropy", lambda t, x: k.rolling_permutation_entropy(x, 30, 3))
+_series("rolling_permutation_entropy", lambda t, x: k.rolling_permutation_entropy(x, 30, 3), sql=_PE, digits=7)
 _series("changepoints", lambda t, x: k.changepoint_probability(_ret(x) / k.expanding_spread(_ret(x))))
 _series("regime_probability", lambda t, x: k.two_state_filter(_ret(x)), "marks")
 _series("kalman_premium", lambda t, x: k.kalman_level(x - x[0], np.maximum(np.diff(t, prepend=t[:1]) / 60_000, 0)), "marks")
@@ -64,14 +72,15 @@ _series("har_forecast", lambda t, x: k.har_forecast(_ret(x) ** 2 + 1e-12))
 _series("throttled_evaluation", lambda t, x: k.thinned(t, 60_000).astype(float), "marks", _THROTTLED)
 
 
-def _scalar(name: str, f, schema: str):
+def _scalar(name: str, f, schema: str, sql: str | None = None, digits: int | None = None):
     """Register a kernel on the daily closes that gives one row per symbol."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return per_series(_closes(spark, folder), ["symbol"], ["day_no"], ["x"], lambda t, x: f(_ret(x)) if len(x) >= 30 else None, schema)
+        out = per_series(_closes(spark, folder), ["symbol"], ["day_no"], ["x"], lambda t, x: f(_ret(x)) if len(x) >= 30 else None, schema)
+        return out if digits is None else out.select("symbol", *[F.round(c, digits).alias(c) for c in out.columns if c != "symbol"])
 
     run.__name__ = name
-    query()(run)
+    query(sql)(run)
 
 
 def _windows(name: str, f, schema: str, size: int = 256, least: int = 30):
@@ -95,7 +104,7 @@ _scalar("cfar_peaks", lambda r: {"bin": [p for p, _ in k.cell_average_peaks(np.a
 _scalar("cyclic_features", lambda r: {"peak": float(k.cyclic_spectrum(r)[1:].max(initial=0.0))}, "peak double")
 _scalar("tail_fit", lambda r: dict(zip(("xi_pwm", "beta_pwm", "xi_mle", "beta_mle"), (*k.gpd_moments(_excess(r)), *k.gpd_likelihood(_excess(r))), strict=True)), "xi_pwm double, beta_pwm double, xi_mle double, beta_mle double")
 _scalar("sax_word", lambda r: {"word": k.sax(np.cumsum(r), 16, 6), "self_score": k.local_alignment(k.sax(np.cumsum(r), 16, 6), k.sax(np.cumsum(r[::-1]), 16, 6))}, "word string, self_score double")
-_scalar("markov_entropy", lambda r: {"cross_entropy": k.markov_cross_entropy((r[: len(r) // 2] > 0).astype(int), (r[len(r) // 2 :] > 0).astype(int), 2)}, "cross_entropy double")
+_scalar("markov_entropy", lambda r: {"cross_entropy": k.markov_cross_entropy((r[: len(r) // 2] > 0).astype(int), (r[len(r) // 2 :] > 0).astype(int), 2)}, "cross_entropy double", _CHAIN, 7)
 _scalar("surrogate_asymmetry", lambda r: {"observed": float((r**3).mean()), "surrogate": float((np.diff(k.phase_surrogate(r, np.random.default_rng(7))) ** 3).mean())}, "observed double, surrogate double")
 _windows("analog_crps", lambda r: _analog(r), "crps double, n int")
 _scalar("aftershocks", lambda r: dict(zip(("k", "c", "p"), k.omori(np.flatnonzero(np.abs(r) > 1.5 * r.std()).astype(float)), strict=True)), "k double, c double, p double")
