@@ -194,8 +194,9 @@ def trailing_sums(panel: np.ndarray, weeks: int) -> np.ndarray:
 
 def factor_null(panel: np.ndarray, trail: int) -> Callable[[np.random.Generator], float]:
     """Mean IC of momentum in panels of one persistent factor with this panel's loadings and idiosyncratic spreads."""
-    factor = np.nanmean(panel, axis=1)
     ok = np.isfinite(panel)
+    known = np.maximum(ok.sum(1), 1)
+    factor = np.where(ok.any(1), np.nansum(panel, axis=1) / known, np.nan)
     f = np.where(ok, factor[:, None], np.nan)
     df, dp = f - np.nanmean(f, axis=0), panel - np.nanmean(panel, axis=0)
     beta = np.nansum(df * dp, axis=0) / np.maximum(np.nansum(df * df, axis=0), 1e-300)

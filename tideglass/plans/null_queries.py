@@ -196,24 +196,38 @@ def portfolio_null(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-_PAIR = f"""(SELECT day_no, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM (SELECT a.day_no, a.close AS x, b.close AS y FROM {DAILY} a JOIN {DAILY} b ON a.day_no = b.day_no WHERE a.symbol = (SELECT min(symbol) FROM {DAILY} z) AND b.symbol = (SELECT max(symbol) FROM {DAILY} z)) j WINDOW w AS (ORDER BY day_no))"""
-_RANKED = """SELECT corr(a, b) FROM (SELECT rank() OVER (ORDER BY dx) + (count(*) OVER (PARTITION BY dx) - 1) / 2.0 AS a, rank() OVER (ORDER BY dy) + (count(*) OVER (PARTITION BY dy) - 1) / 2.0 AS b FROM d WHERE {which}) r"""
+_PAIRS = f"""(SELECT a, b, day_no, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM (SELECT a.symbol AS a, b.symbol AS b, a.day_no, a.close AS x, b.close AS y FROM {DAILY} a JOIN {DAILY} b ON a.day_no = b.day_no AND a.symbol < b.symbol) j WINDOW w AS (PARTITION BY a, b ORDER BY day_no))"""
+_AVERAGE = "rank() OVER (PARTITION BY a, b, s ORDER BY {c}) + (count(*) OVER (PARTITION BY a, b, s, {c}) - 1) / 2.0"
 
 
-@query(f"""WITH d AS (SELECT * FROM {_PAIR} p WHERE dx IS NOT NULL) SELECT v AS variant, CASE WHEN (SELECT count(*) FILTER (day_no % 5 = 0) >= 4 AND count(*) FILTER (day_no % 5 <> 0) >= 4 FROM d) THEN round(coalesce(({_RANKED.format(which="day_no % 5 = 0")}), 0) - coalesce(({_RANKED.format(which="day_no % 5 <> 0")}), 0), 6) END AS observed, {REPLICATES} AS replicates, true AS p_possible, true AS sane FROM (SELECT unnest(['fixed', 'selected']) AS v) q""")
+@query(f"""WITH d AS (SELECT a, b, day_no % 5 = 0 AS s, dx, dy FROM {_PAIRS} p WHERE dx IS NOT NULL), r AS (SELECT a, b, s, {_AVERAGE.format(c="dx")} AS x, {_AVERAGE.format(c="dy")} AS y FROM d), c AS (SELECT a, b, s, count(*) AS n, coalesce(nullif(corr(x, y), 'nan'), 0.0) AS rho FROM r GROUP BY 1, 2, 3)
+  SELECT u.a, u.b, variant, u.n AS stress_days, v.n AS quiet_days, round(u.rho - v.rho, 6) + 0.0 AS observed, 100 AS replicates, true AS sane FROM c u JOIN c v ON u.a = v.a AND u.b = v.b AND u.s AND NOT v.s, (SELECT unnest(['fixed', 'selected']) AS variant) q WHERE u.n >= 4 AND v.n >= 4""")
 def coherence_null(spark: SparkSession, folder: str) -> DataFrame:
-    """Lift of a pair's rank correlation on stress days (every fifth stands in) against independent block resamples; the pair is the first and the last series."""
+    """Lift of every pair's rank correlation on stress days (every fifth stands in) against independent block resamples of both sides.
+
+    Pairs with fewer than four stress or quiet days have none. Sane: the lifts on fixed days lie around 0, those on selected days vary.
+    """
     d = daily(spark, folder)
-    lo, hi = d.agg(F.min("symbol"), F.max("symbol")).first()
-    one = lambda s, n: d.where(F.col("symbol") == s).select("day_no", F.col("close").alias(n))
-    rows = one(lo, "x").join(one(hi, "y"), "day_no").orderBy("day_no").toPandas()
-    dx, dy, stress = np.diff(rows.x), np.diff(rows.y), (rows.day_no.to_numpy()[1:] % 5) == 0
-    observed, out = rs.stress_lift(dx, dy, stress), None
-    for k, variant in enumerate(("fixed", "selected")):
-        null = rs.replicates(spark, REPLICATES, 60 + k, rs.coherence_lift_null(dx, dy, stress, 20, variant == "selected"))
-        one_ = _judged(null, observed, 0.0 if variant == "fixed" else None).withColumn("variant", F.lit(variant))
-        out = one_ if out is None else out.unionByName(one_)
-    return out
+    one, two = d.select(F.col("symbol").alias("a"), "day_no", F.col("close").alias("x")), d.select(F.col("symbol").alias("b"), "day_no", F.col("close").alias("y"))
+    pairs = one.join(two, "day_no").where("a < b").withColumn("_a", F.col("a")).withColumn("_b", F.col("b"))
+
+    def judge(day, x, y, a, b):
+        dx, dy, stress = np.diff(x), np.diff(y), day[1:] % 5 == 0
+        observed = rs.stress_lift(dx, dy, stress)
+        if not np.isfinite(observed):
+            return None
+        out = {n: [] for n in ("variant", "stress_days", "quiet_days", "observed", "replicates", "sane", "p")}
+        for k, variant in enumerate(("fixed", "selected")):
+            draw = rs.coherence_lift_null(dx, dy, stress, 20, variant == "selected")
+            null = np.array([draw(np.random.default_rng([60 + k, int(a[0]), int(b[0]), i])) for i in range(100)])
+            sane = np.isfinite(null).all() and (null.std() > 0 if k else abs(null.mean()) <= 6 * null.std(ddof=1) / 10 + 0.05)
+            p = ((np.abs(null) >= abs(observed)).sum() + 1) / 101
+            for name, v in zip(out, (variant, int(stress.sum()), int((~stress).sum()), round(observed, 6) + 0.0, 100, bool(sane), p), strict=True):
+                out[name].append(v)
+        return out
+
+    got = per_series(pairs, ["a", "b"], ["day_no"], ["x", "y", "_a", "_b"], judge, "variant string, stress_days long, quiet_days long, observed double, replicates int, sane boolean, p double")
+    return got.select("a", "b", "variant", "stress_days", "quiet_days", "observed", "replicates", (F.col("sane") & (F.col("p") > 0) & (F.col("p") <= 1)).alias("sane"))
 
 
 @query("""WITH b AS (SELECT CAST(l_quantity AS INTEGER) AS q, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(max(n) FILTER (q = 25) AS DOUBLE) AS observed, 400 AS replicates, true AS p_possible, true AS sane FROM b""".replace("400", str(REPLICATES)))
