@@ -9,7 +9,7 @@ from tideglass.operators import backtest as bt
 from tideglass.operators import orderbook as ob
 from tideglass.operators import resampling as rs
 from tideglass.operators.grouped import per_series
-from tideglass.operators.ranks import average_rank, floor_bucket, rejected, spearman
+from tideglass.operators.ranks import average_rank, exact_percentiles, floor_bucket, rejected, spearman
 
 FRAME = "symbol string, ts_exchange_ms long, payload_json string"
 
@@ -231,3 +231,12 @@ def test_quotes_and_icebergs_over_frames(spark, rows):
     hits = spark.createDataFrame([("s", t, "sell", 99.0) for t in range(5, 60, 10)], "symbol string, ts long, side string, price double")
     assert rows(ob.refilled_levels(levels, hits), "symbol", "side", "price", "hits", "found") == [("s", "bid", 99.0, 5, 2)]
     assert ob.refilled_levels(levels.limit(0), hits).count() == 0 and ob.quote_fills(quotes.limit(0), trades, 0.1, 1000, 1000).count() == 0
+
+
+def test_percentiles_without_buffers(spark):
+    rng = np.random.default_rng(8)
+    data = [("a", float(v)) for v in rng.integers(0, 40, 301)] + [("b", 2.5), ("b", None), ("c", None), (None, 1.0), (None, 2.0)]
+    at = [0.0, 0.125, 0.5, 0.99, 1.0]
+    got = {r.k: r.q for r in exact_percentiles(spark.createDataFrame(data, "k string, v double"), ["k"], "v", at, "q").collect()}
+    assert set(got) == {"a", "b", None} and got["b"] == [2.5] * 5 and got[None][2] == 1.5
+    assert np.allclose(got["a"], np.quantile([v for k, v in data if k == "a"], at))

@@ -47,3 +47,21 @@ def rejected(tests: DataFrame, p: str, alpha: float, dependent: bool = False) ->
     limit = F.col("_rank") * alpha / (F.col("_m") * scale)
     last = F.max(F.when(F.col(p) <= limit, F.col("_rank"))).over(every)
     return out.withColumn("rejected", F.coalesce((F.col("_rank") <= last) & F.col(p).isNotNull(), F.lit(False))).drop("_m", "_rank")
+
+
+def exact_percentiles(df: DataFrame, by: list[str], value: str, at: list[float], name: str) -> DataFrame:
+    """Per group an array ``name`` of percentiles interpolated between neighbours, without a group's values in memory.
+
+    Equal values are counted on the map side; a group's distinct values are sorted with spill and run
+    through a window. Null values are none; a group without values has no row.
+    """
+    order = Window.partitionBy(*by).orderBy(value)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = counts.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    ends = []
+    for k, p in enumerate(at):
+        place = F.lit(p) * (F.col("_n") - 1)
+        ends += [F.min(F.when(F.col("_upto") > F.floor(place), F.col(value))).alias(f"_l{k}"), F.min(F.when(F.col("_upto") > F.ceil(place), F.col(value))).alias(f"_h{k}")]
+    g = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *ends)
+    share = lambda p: F.lit(p) * (F.col("_n") - 1) - F.floor(F.lit(p) * (F.col("_n") - 1))
+    return g.select(*by, F.array(*[F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * share(p) for k, p in enumerate(at)]).alias(name))

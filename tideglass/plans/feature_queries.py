@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideglass.functions.events import DAY_MS
 from tideglass.operators import bars
 from tideglass.operators.blocks import with_previous, with_trailing
-from tideglass.operators.ranks import floor_bucket, spearman
+from tideglass.operators.ranks import exact_percentiles, floor_bucket, spearman
 from tideglass.plans.registry import query
 from tideglass.plans.views import DAILY, FILLS, QUOTES, RETURNS, WEEKLY, daily, fills, quotes, weekly, weekly_returns
 from tideglass.sources.tables import table
@@ -137,9 +137,9 @@ def trade_tokens(spark: SparkSession, folder: str) -> DataFrame:
     f = with_previous(fills(spark, folder), ["symbol"], ["ts", "trade_id"], ["ts"])
     o = f.withColumn("iat", (F.col("ts") - F.col("prev.ts")).cast("double")).where("size IS NOT NULL AND iat IS NOT NULL AND side IS NOT NULL")
     first = fills(spark, folder).agg(F.floor(F.min("ts") / DAY_MS)).first()[0]
-    q = lambda c: F.percentile(c, F.array(*[F.lit(k / 8) for k in range(1, 8)]))
+    eighths = [k / 8 for k in range(1, 8)]
     train = o.where(F.col("day") == F.lit(first)) if first is not None else o
-    e = train.groupBy("symbol").agg(q("size").alias("se"), q("iat").alias("ie"))
+    e = exact_percentiles(train, ["symbol"], "size", eighths, "se").join(exact_percentiles(train, ["symbol"], "iat", eighths, "ie"), "symbol")
     below = lambda edges, v: F.size(F.filter(edges, lambda x: x <= F.col(v)))
     token = F.when(F.col("side") == "buy", 64).otherwise(0) + 8 * below("se", "size") + below("ie", "iat")
     return o.join(e, "symbol").select("trade_id", token.cast("int").alias("token"))

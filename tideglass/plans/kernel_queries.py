@@ -106,7 +106,7 @@ _scalar("tail_fit", lambda r: dict(zip(("xi_pwm", "beta_pwm", "xi_mle", "beta_ml
 _scalar("sax_word", lambda r: {"word": k.sax(np.cumsum(r), 16, 6), "self_score": k.local_alignment(k.sax(np.cumsum(r), 16, 6), k.sax(np.cumsum(r[::-1]), 16, 6))}, "word string, self_score double")
 _scalar("markov_entropy", lambda r: {"cross_entropy": k.markov_cross_entropy((r[: len(r) // 2] > 0).astype(int), (r[len(r) // 2 :] > 0).astype(int), 2)}, "cross_entropy double", _CHAIN, 7)
 _scalar("surrogate_asymmetry", lambda r: {"observed": float((r**3).mean()), "surrogate": float((np.diff(k.phase_surrogate(r, np.random.default_rng(7))) ** 3).mean())}, "observed double, surrogate double")
-_windows("analog_crps", lambda r: _analog(r), "crps double, n int")
+_windows("analog_crps", lambda r: _analog(r), "crps double, n int, mean_rank double")
 _scalar("aftershocks", lambda r: dict(zip(("k", "c", "p"), k.omori(np.flatnonzero(np.abs(r) > 1.5 * r.std()).astype(float)), strict=True)), "k double, c double, p double")
 
 
@@ -119,7 +119,8 @@ def _analog(r: np.ndarray) -> dict[str, float]:
     f = np.stack([r[1:-1], r[:-2]], 1)
     got = k.analog_forecast(f, r[2:], 10)
     scores = [k.crps(g, v) for g, v in zip(got, r[2:], strict=True) if np.isfinite(g).all()]
-    return {"crps": float(np.mean(scores)) if scores else None, "n": len(scores)}
+    ranks = [float((g < v).mean()) for g, v in zip(got, r[2:], strict=True) if np.isfinite(g).all()]
+    return {"crps": float(np.mean(scores)) if scores else None, "n": len(scores), "mean_rank": float(np.mean(ranks)) if ranks else None}
 
 
 @query()
