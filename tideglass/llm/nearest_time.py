@@ -23,7 +23,7 @@ def _fine_cells(right: DataFrame, width: int) -> DataFrame:
     cell = F.floor(F.col("_t") / width)
     near = right.withColumn("_own", cell).withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
     at = F.struct("_t", "_r")
-    return near.groupBy("_entity", "_block", "_cell").agg(
+    return near.groupBy("_cell", "_entity", "_block").agg(
         F.collect_list(F.when(F.col("_own") == F.col("_cell"), at)).alias("_in"),
         F.max(F.when(F.col("_own") < F.col("_cell"), at)).alias("_before"),
         F.min(F.when(F.col("_own") > F.col("_cell"), at)).alias("_after"),
@@ -33,10 +33,10 @@ def _fine_cells(right: DataFrame, width: int) -> DataFrame:
 def _shell_cells(right: DataFrame, width: int) -> DataFrame:
     """Per bucket of a width in which nothing lies that near: the last record of the two buckets before it, the first of the two after it."""
     at = F.struct("_t", "_r")
-    ends = right.groupBy("_entity", "_block", F.floor(F.col("_t") / width).alias("_own")).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    ends = right.groupBy(F.floor(F.col("_t") / width).alias("_own"), "_entity", "_block").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
     reach = F.explode(F.array(*[F.lit(k) for k in (-2, -1, 1, 2)]))
     near = ends.withColumn("_step", reach).withColumn("_cell", F.col("_own") + F.col("_step"))
-    return near.groupBy("_entity", "_block", "_cell").agg(
+    return near.groupBy("_cell", "_entity", "_block").agg(
         F.max(F.when(F.col("_step") > 0, F.col("_last"))).alias("_before"), F.min(F.when(F.col("_step") < 0, F.col("_first"))).alias("_after")
     )
 
@@ -66,9 +66,11 @@ def nearest_in_time(
     formed that need to be thinned out again. A bucket's row is bounded whatever the density: one
     record per distinct time, at most ``fine_ms`` of them, in the first ring, and two records in the
     later ones. Both sides are exchanged once, by (entity, block of an hour), right records near a
-    block's border going to both blocks; every ring joins where the rows already lie, by hash and
-    without sorting the left rows. An accepted row has no bucket any more: later rings pass it
-    through without a look-up. Entities that hold most rows are spread over their hours.
+    block's border going to both blocks; every ring joins where the rows already lie, by merge: what
+    it sorts goes to disk when memory is short, while a hash table of the buckets could not, so a
+    partition may be larger than the memory of its task. An accepted row has no bucket any more:
+    later rings pass it through without a look-up. Entities that hold most rows are spread over
+    their hours.
 
     A join on more columns than the partitioning stays in place only under a planner option, which is
     set for this plan alone: the result belongs to a session of its own beside the caller's.
@@ -105,7 +107,7 @@ def nearest_in_time(
     for searched, width in zip([None, *widths], widths):
         cells = _fine_cells(rights, width) if searched is None else _shell_cells(rights, searched)
         bucket = F.when(F.col("_best").isNull(), F.floor(F.col("_t") / (searched or width)))
-        seen = rows.withColumn("_cell", bucket).join(cells.hint("shuffle_hash"), ["_entity", "_block", "_cell"], "left")
+        seen = rows.withColumn("_cell", bucket).join(cells.hint("merge"), ["_cell", "_entity", "_block"], "left")
         ends = F.array(F.when(F.col("_before").isNotNull(), offer(F.col("_before"))), F.when(F.col("_after").isNotNull(), offer(F.col("_after"))))
         offers = ends if searched is not None else F.concat(F.transform(F.coalesce("_in", F.array()), offer), ends)
         best = F.array_min(F.filter(offers, lambda o: o["d"] <= width))
